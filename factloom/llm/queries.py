@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, mixing, piece_codec, toxicity, url_rules
+from . import fingerprints, language_id, media, mixing, piece_codec, suffix_dedup, toxicity, url_rules
 from .common import read_table
 
 #: (host, path, verdict)
@@ -50,14 +50,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.orderBy(F.col("position").asc_nulls_last(), "h").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.fit_language(docs.where(~_fold(3, 1)))
     return language_id.predict_language(docs, model, ["doc_id"]).select("doc_id", _fold(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_url_filters, op4_sentencepiece, op5_media_columns, op6_mixing, op9_language_id)
+    f.__name__: f for f in (op1_toxicity, op3_url_filters, op4_sentencepiece, op5_media_columns, op6_mixing, op8_suffix_dedup, op9_language_id, op10_fingerprints)
 }
 
 SQL: dict[str, str] = {
