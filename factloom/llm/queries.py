@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, media, mixing, piece_codec, suffix_dedup, toxicity, url_rules
+from . import fingerprints, jaccard_join, language_id, media, mixing, piece_codec, suffix_dedup, toxicity, url_rules
 from .common import read_table
 
 #: (host, path, verdict)
@@ -50,6 +50,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.orderBy(F.col("position").asc_nulls_last(), "h").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_url_filters, op4_sentencepiece, op5_media_columns, op6_mixing, op8_suffix_dedup, op9_language_id, op10_fingerprints)
+    f.__name__: f for f in (op1_toxicity, op3_url_filters, op4_sentencepiece, op5_media_columns, op6_mixing, op7_jaccard_join, op8_suffix_dedup, op9_language_id, op10_fingerprints)
 }
 
 SQL: dict[str, str] = {

@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, byte_view, map_texts, mix, prefix_hash, range_hash, spans, string_array, words
 
 #: Bound on the labelled rows of each class that are fitted on.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4500
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
 #: Pseudo-counts with which the shared model enters a class's stem level.
 SHARED = 20.0
-WINDOWS = (3, 12)
+#: Bigrams that occur less often in the sample are left to the word level: copies of one text repeat its bigrams.
+MIN_PAIR = 20
+WINDOWS = (1, 3, 12)
 STEM_BYTES = 5
 THRESHOLD = 0.3
 
@@ -54,6 +56,11 @@ _U = np.uint64
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of words, hashes of their stems, and their document numbers."""
+    parts = [_tokens(texts.slice(i, j - i), i) for i, j in spans(byte_view(texts)[1])] or [_tokens(texts, 0)]
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _tokens(texts: pa.Array, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = byte_view(texts)
     data = LOWER[data]
     # Upper-case letters of the Latin-1 block are C3 80 to C3 9E in UTF-8.
@@ -62,7 +69,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data[up] += 0x20
     start, end, doc = words(data, offsets, WORD)
     p = prefix_hash(data)
-    return range_hash(p, start, end), range_hash(p, start, np.minimum(end, start + STEM_BYTES)), doc
+    return range_hash(p, start, end), range_hash(p, start, np.minimum(end, start + STEM_BYTES)), doc + first
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,7 +116,9 @@ class KneserNeyPair:
         by_stem = np.stack([np.bincount(of_word, t, len(self.stems)) for t in types])
         pooled = np.bincount(of_word, minlength=len(self.stems)) + 1.0
         pooled /= pooled.sum() + 1.0
-        p_stem = (by_stem + SHARED * pooled) / (by_stem.sum(1, keepdims=True) + SHARED)
+        n_stem = np.maximum(by_stem.sum(1, keepdims=True), 1)
+        shared = DISCOUNT * (by_stem > 0).sum(1, keepdims=True) / n_stem
+        p_stem = np.maximum(by_stem - DISCOUNT, 0) / n_stem + np.maximum(shared, SHARED / n_stem) * pooled
         self.stem_llr = np.log(p_stem[1] / p_stem[0])
         back = DISCOUNT * kinds / n
         in_stem = 1.0 / np.maximum(np.bincount(of_word, minlength=len(self.stems)), 1)  # shared choice within a stem
@@ -117,7 +126,7 @@ class KneserNeyPair:
         self.p_word = p_word
         # Words that neither class saw: the weights of falling back are shared, so only the stem speaks.
         pairs, counts = np.unique(pair, return_counts=True)
-        keep = pairs[counts >= 2]
+        keep = pairs[counts >= MIN_PAIR]
         seen = _counts(pair, keep) >= 0
         self.pairs = keep
         two = _tally(pair[seen], cls[seen], keep)
