@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, media, mixing, piece_codec, suffix_dedup, toxicity, url_rules
+from . import chat_format, fingerprints, jaccard_join, language_id, media, mixing, piece_codec, suffix_dedup, toxicity, url_rules
 from .common import read_table
 
 #: (host, path, verdict)
@@ -32,6 +32,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _fold(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", "turn", "role", "opens", "closes", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -69,7 +74,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_url_filters, op4_sentencepiece, op5_media_columns, op6_mixing, op7_jaccard_join, op8_suffix_dedup, op9_language_id, op10_fingerprints)
+    f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_url_filters, op4_sentencepiece, op5_media_columns, op6_mixing, op7_jaccard_join, op8_suffix_dedup, op9_language_id, op10_fingerprints)
 }
 
 SQL: dict[str, str] = {
