@@ -49,10 +49,10 @@ def apply_registry(points: DataFrame, calls: DataFrame, registry: DataFrame, bod
     named = points.join(calls.select("call_id", "callee_name", "status_args"), "call_id").join(body_calls.withColumnRenamed("call_id", "b"), F.col("call_id") == F.col("b"), "left_anti")
 
     def table(kind: str) -> DataFrame:
-        return registry.where(F.col("kind") == kind).select(F.col("name").alias(f"{kind}_name"), F.struct("exception", "fixed_status", "status_arg").alias(kind))
+        return registry.where(F.col("kind") == kind).select(F.col("name").alias(f"{kind}_name"), F.struct("exception", "fixed_status", "status_arg").alias(f"by_{kind}"))
 
     hit = named.join(table("function"), F.col("callee_name") == F.col("function_name"), "left").join(table("method"), F.col("callee_name") == F.col("method_name"), "left")
-    hit = hit.withColumn("known", F.coalesce("function", "method")).where("known is not null")
+    hit = hit.withColumn("known", F.coalesce("by_function", "by_method")).where("known is not null")
     status = F.coalesce("known.fixed_status", scalars.fold_status_arg(F.col("status_args"), F.coalesce("known.status_arg", F.lit(-1))))
     certain = F.col("explicit") & F.array_contains("types", F.col("known.exception"))
     return hit.select("file", "class", "method", "ord", "line", F.col("known.exception").alias("exception"), status.alias("status"), F.when(certain, "Certain").otherwise("Likely").alias("confidence"), F.lit("Signal").alias("disposition"), "callee_name")
