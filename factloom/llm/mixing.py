@@ -116,13 +116,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows that share an id are told apart by all their columns; those that agree in all are taken alike.
     """
-    taken = set(docs.columns)
     cols = docs.columns
-    h = fresh("mix_hash", taken)
-    keyed = docs.withColumn(h, F.xxhash64(id_col, F.lit("mix")))
-    plan = plan_mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias("p_id"), F.col("size").alias("p_size"), F.col("source").alias("p_source"), "copies", "position")
-    plan = plan.groupBy("p_id", "p_size", "p_source").agg(F.max("copies").alias("p_copies"), F.min("position").alias("p_position"))
-    size = fresh("mix_size", taken)
-    out = keyed.withColumn(size, word_count(docs[text_col])).join(plan, F.col(id_col).eqNullSafe(F.col("p_id")) & (F.col(size) == F.col("p_size")) & F.col(source_col).eqNullSafe(F.col("p_source")))
-    copy = fresh("mix_copy", taken)
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("p_copies")))).orderBy("p_position", h, copy).select(*cols)
+    h, size, copy, p_id, p_size, p_source, p_copies, p_position = (fresh(f"mix_{x}", cols) for x in ("hash", "size", "copy", "of_id", "of_size", "of_source", "copies", "position"))
+    plan = plan_mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy(F.col(id_col).alias(p_id), F.col("size").alias(p_size), F.col("source").alias(p_source)).agg(F.max("copies").alias(p_copies), F.min("position").alias(p_position))
+    keyed = docs.withColumn(h, F.xxhash64(id_col, F.lit("mix"))).withColumn(size, word_count(docs[text_col]))
+    out = keyed.join(plan, F.col(id_col).eqNullSafe(F.col(p_id)) & (F.col(size) == F.col(p_size)) & F.col(source_col).eqNullSafe(F.col(p_source)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(p_copies)))).orderBy(p_position, h, copy).select(*cols)

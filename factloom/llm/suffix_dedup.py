@@ -202,10 +202,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     spark = docs.sparkSession
     distinct = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).distinct().orderBy(F.col("i").asc_nulls_last(), "t")
     ranked = distinct.select("i", F.sha2("t", 256).alias("s")).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    rank = spark.createDataFrame(ranked, T.StructType([T.StructField("r_id", T.LongType()), T.StructField("r_text", T.StringType()), T.StructField("r_key", T.LongType())]))
-    s = fresh("text_digest", docs.columns)
-    out = docs.withColumn(s, F.sha2(F.coalesce(text_col, F.lit("")), 256)).join(rank, F.col(id_col).cast("long").eqNullSafe(F.col("r_id")) & (F.col(s) == F.col("r_text")))
-    return out.withColumnRenamed("r_key", key).drop("r_id", "r_text", s)
+    r_id, r_text, digest = (fresh(x, docs.columns) for x in ("ranked_id", "ranked_text", "text_digest"))
+    rank = spark.createDataFrame(ranked, T.StructType([T.StructField(r_id, T.LongType()), T.StructField(r_text, T.StringType()), T.StructField(key, T.LongType())]))
+    out = docs.withColumn(digest, F.sha2(F.coalesce(text_col, F.lit("")), 256)).join(rank, F.col(id_col).cast("long").eqNullSafe(F.col(r_id)) & (F.col(digest) == F.col(r_text)))
+    return out.drop(r_id, r_text, digest)
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
