@@ -320,7 +320,8 @@ def test_suffix_dedup(spark, monkeypatch, hot):
 
 
 def test_suffix_dedup_odd_input(spark, odd, empty):
-    long = "".join(random.Random(0).choice("abcdefgh ") for _ in range(300))
+    rnd = random.Random(0)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(300))
     more = spark.createDataFrame([(3, long, "en", "s"), (3, long, "en", "s"), (None, long, "en", "s"), (4, "z" + long, "en", "s")], SCHEMA)
     df = odd.unionAll(more)
     got = suffix_dedup.remove_repeats(clashing(df), carry=["doc_id", "key", "kept"], texts=False).collect()
