@@ -1,23 +1,31 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document's set is its distinct 5-word shingles, as 64-bit hashes. All
-shingles stand in one global order, rare before frequent (a count sketch over
-all documents tells which), then by hash. That order is cut into fragments.
-
-* Candidates. Documents with a Jaccard similarity of at least 3/4 share a
-  shingle among the first ``n - ceil(3n/4) + 1`` of each. Each fragment brings
-  together the documents that have one of its shingles among their first.
-* Counting. For each candidate pair every fragment counts its part of the
-  overlap by itself, and the parts are summed: no document's set is ever
-  gathered whole beside another's.
-
-Documents with equal sets are one class and are compared once. A shingle that
-few classes share gives all its pairs. One that many share gives a *star*, each
-class against the hub of its size band, because classes that both turn out to
-be linked to a hub need no link between each other. A class whose star pair is
-no link, and which is not in the hub's component either, is then compared with
-every class of another component with which it shares a first shingle, so no
-link between components is missed and no group emits all its pairs.
+A document's set is its distinct 5-word shingles, as 64-bit hashes; documents
+with equal sets are one class. All shingles stand in one global order, rare
+before frequent (a count sketch over all documents tells which), then by hash,
+and that order is cut into fragments.
+
+1. *First shingles.* Two linked classes x, y share at least ``least(min(n))``
+   of their first ``n - ceil(3n/4) + least(n)`` shingles. Each fragment counts
+   its part of that overlap by itself for all pairs of classes in its small
+   groups (a shingle's classes, up to ``ALL_PAIRS``); the parts are summed for
+   each pair. Classes of large groups are only listed.
+2. A link that the sums of small groups cannot show has ``least`` first
+   shingles in large groups on both sides; such classes are *dense*. In each
+   group and size band the dense classes meet one *hub*, the one whose shingles
+   are the most frequent, so a group of m classes gives m pairs.
+3. The pairs' whole overlaps are counted on the sets of the classes involved,
+   which are written once, and the links joined to components.
+4. A dense class z that is not linked to a hub h and not in its component is
+   *open*: if it is linked to a class y of the same group, then
+   ``|z & y| <= |z & h| + |(z - h) & y|``, so y holds enough of the shingles of
+   z outside h. These are few, and they find the pairs that are left to count.
+   Shingles outside h that many hold are not expanded but granted to the bound;
+   where the bound leaves nothing to ask for, z meets the classes of the same
+   hub whose own overlap with it is large enough.
+
+No link between different components is missed, and no group emits all its
+pairs.
 
 Defined results: null, empty and blank texts have the empty set, link to nothing and are their own
 component; 1 to 4 words form one shingle, the whole sequence; rows that repeat
@@ -37,16 +45,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, byte_view, checkpoint, mix, prefix_hash, range_hash, spans, string_array, words
-from .packing import CELL_SCHEMA, by_part, cells, pack, unpack
+from .packing import CELL_SCHEMA, PARTS_PER_PARTITION, by_part, cells, deal, gather, pack, unpack
 
 #: Words of a shingle.
 SHINGLE = 5
 #: Similarity threshold as a fraction.
 NUM, DEN = 3, 4
-#: Classes that share a first shingle up to which all their pairs are candidates.
+#: Classes that share a first shingle up to which all their pairs are counted.
 ALL_PAIRS = 4
-#: Fragments of the global order in which overlaps are counted.
-FRAGMENTS = 4
+#: Dense classes that share a shingle outside a hub up to which it is expanded.
+EXPANDED = 64
 #: Counters of the frequency sketch, and bits of the filters that thin out later scans. Both are fixed in size;
 #: they only steer the order and save work, so the result does not depend on them.
 SKETCH = 1 << 20
@@ -166,208 +174,147 @@ def _ordered(sets: np.ndarray, sketch: np.ndarray, base: float) -> np.ndarray:
     return (np.minimum(level, _U(31)) << _U(59)) | (sets >> _U(5))
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - -(-n * NUM // DEN) + 1
+def least_shared(n):
+    """First shingles that linked classes share at least, by the smaller's size."""
+    return 1 + n // 4
 
 
-_TOKEN = [np.uint64, np.int64, np.int32, np.int64]
+def prefix_length(n: int) -> int:
+    return n - -(-n * NUM // DEN) + least_shared(n)
 
 
-def _first_shingles(texts: DataFrame, sketch: np.ndarray, parts: int, only: np.ndarray | None = None) -> DataFrame:
-    """Rows (sig, n, place cells) are dealt by place: each class's first shingles, once for each chunk.
+def _size_step(n: np.ndarray) -> np.ndarray:
+    """Sizes in steps of four percent, in a byte; linked classes are at most ``_NEAR`` steps apart."""
+    return np.minimum(np.log(n) / np.log(1.04), 255).astype(np.uint8)
 
-    ``only``: a filter on places; without it all are emitted.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast((sketch, 4.0 * max(float(sketch.mean()), 2.0), only))
+
+_NEAR = 8
+
+
+def _context(texts: DataFrame, sketch: np.ndarray):
+    return texts.sparkSession.sparkContext.broadcast((sketch, 4.0 * max(float(sketch.mean()), 2.0)))
+
+
+def _first_shingles(texts: DataFrame, shared, parts: int) -> DataFrame:
+    """Cells of (place, class), dealt by place: each class's first shingles, once for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, base, only = shared.value
+        sketch, base = shared.value
         for _, _, sets, bounds, digest in _each_chunk(batches, 0):
             place = _ordered(sets, sketch, base)
-            got = []
-            for i in _once(digest, bounds):
-                p = place[bounds[i] : bounds[i + 1]]
-                k = int(prefix_length(np.int64(len(p))))
-                got.append((np.sort(p)[:k], digest[i], len(p)))
-            if not got:
-                continue
-            size = [len(g[0]) for g in got]
-            tok = np.concatenate([g[0] for g in got])
-            sig = np.repeat(np.array([g[1] for g in got], np.int64), size)
-            n = np.repeat(np.array([g[2] for g in got], np.int32), size)
-            if only is not None:
-                keep = only[_bit(tok)]
-                tok, sig, n = tok[keep], sig[keep], n[keep]
-            rows = []
-            part = (mix(tok) >> _U(33)) % _U(parts)
-            order = np.argsort(part, kind="stable")
-            part, tok, sig, n = part[order], tok[order], sig[order], n[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                # A class's digest and size stand once in a cell; its shingles name it by a small number.
-                who, first, which = np.unique(sig[a:b], return_index=True, return_inverse=True)
-                table, body = pack(who, n[a:b][first]), pack(tok[a:b], which.astype(np.int32))
-                rows.append((int(part[a]), 0, len(table).to_bytes(8, "little") + table + body))
-            yield cells(rows)
+            pick = _once(digest, bounds)
+            got = [np.sort(place[bounds[i] : bounds[i + 1]])[: prefix_length(int(bounds[i + 1] - bounds[i]))] for i in pick]
+            if got:
+                # 48 bits of a place are enough to bring classes together; whole sets are compared later.
+                tok = np.concatenate(got) >> _U(16)
+                size = [len(g) for g in got]
+                sig, step = np.repeat(digest[pick], size), np.repeat(_size_step(np.diff(bounds)[pick]), size)
+                yield cells([(p, 0, c) for p, c in deal(((mix(tok) >> _U(33)) % _U(parts)).astype(np.int64), parts, tok, sig, step)])
 
     return texts.mapInArrow(run, CELL_SCHEMA)
 
 
-def _tokens_of(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (place, class) of a part with the class's size, sorted by place, size and class."""
-    tok, sig, n = [], [], []
-    for c in held:
-        size = int.from_bytes(c[:8], "little")
-        who, much = unpack(c[8 : 8 + size], [np.int64, np.int32])
-        t, which = unpack(c[8 + size :], [np.uint64, np.int32])
-        tok.append(t)
-        sig.append(who[which])
-        n.append(much[which])
-    tok, sig, n = map(np.concatenate, (tok, sig, n))
-    # Only shingles that stand more than once go on.
+def _groups(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(tok)))
+
+
+_PAIRS, _LARGE = [np.int64, np.int64, np.int32], [np.int64, np.uint64]
+
+
+def _candidates(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """A fragment's partial counts of pairs in small groups (cells of kind 0), and the members of large ones (kind 1)."""
+    tok, sig, step = gather(held[0], [np.uint64, np.int64, np.uint8])
     order = np.argsort(tok, kind="stable")
-    tok, sig, n = tok[order], sig[order], n[order]
+    tok, sig, step = tok[order], sig[order], step[order]
     same = np.zeros(len(tok) + 1, bool)
     same[1:-1] = tok[1:] == tok[:-1]
     keep = same[1:] | same[:-1]
-    tok, sig, n = tok[keep], sig[keep], n[keep]
-    order = np.lexsort((sig, n, tok))
-    tok, sig, n = tok[order], sig[order], n[order]
+    tok, sig, step = tok[keep], sig[keep], step[keep].astype(np.int64)
+    order = np.lexsort((sig, tok))
+    tok, sig, step = tok[order], sig[order], step[order]
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
-    return tok[new], sig[new], n[new]
+    tok, sig, step = tok[new], sig[new], step[new]
+    begin, size = _groups(tok)
+    small = (size > 1) & (size <= ALL_PAIRS)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, ALL_PAIRS):  # pairs at distance d of every small group
+        at, m = begin[small & (size > d)], size[small & (size > d)] - d
+        i = np.repeat(at - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        i = i[np.abs(step[i] - step[i + d]) <= _NEAR]
+        a.append(sig[i])
+        b.append(sig[i + d])
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    head = np.ones(len(a), bool)
+    head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(head)
+    big = np.repeat(size, size) > ALL_PAIRS
+    yield cells([(0, 0, pack(a[at], b[at], np.diff(np.append(at, len(a))).astype(np.int32))), (0, 1, pack(sig[big], tok[big]))])
+
+
+def _unpacked(found: DataFrame, kind: int, dtypes: list, schema: str) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.column(0):
+                cols = unpack(c.as_py(), dtypes)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in cols], names=names)
 
-_PAIR_SCHEMA = "a bigint, b bigint, na int, nb int, star int"
+    return found.where(F.col("kind") == kind).select("cell").mapInArrow(run, schema)
 
 
-def _pair_batch(a, b, na, nb, star) -> pa.RecordBatch:
-    """Distinct pairs, the class with more pairs as b."""
-    if len(a):
-        pairs = np.stack([a, b, na, nb, star], 1).astype(np.int64)
-        pairs = pairs[np.lexsort(pairs.T[::-1])]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(1)
-        a, b, na, nb, star = pairs[new].T
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), *(pa.array(np.asarray(x, np.int32)) for x in (na, nb, star))], names=["a", "b", "na", "nb", "star"])
+def _sets(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """(sig, set): the whole sets of the wanted classes, one row each."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(member_filter(wanted, columns)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(shared.value).astype(bool)
+        for _, _, sets, bounds, digest in _each_chunk(batches, 0):
+            pick = _once(digest, bounds)
+            pick = pick[passes[_bit(digest[pick].view(np.uint64))]]
+            yield pa.RecordBatch.from_arrays([pa.array(digest[pick]), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in pick], pa.binary())], names=["sig", "set"])
 
-def _groups(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-    return begin, np.diff(np.append(begin, len(tok)))
+    return texts.mapInArrow(run, "sig bigint, set binary").dropDuplicates(["sig"])
 
 
-def _candidates(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-    """All pairs of rarely shared shingles, stars of often shared ones; sizes must fit the threshold."""
-    tok, sig, n = _tokens_of(held[0])
-    begin, size = _groups(tok)
-    a, b, s = [], [], []
-    small = size <= ALL_PAIRS
-    for d in range(1, ALL_PAIRS):  # the pairs at distance d of every small group
-        at, m = begin[small & (size > d)], size[small & (size > d)] - d
-        i = np.repeat(at - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-        a.append(i + d)
-        b.append(i)
-        s.append(np.zeros(len(i), np.int64))
-    for at, m in zip(begin[~small], size[~small]):
-        # Bands of fitting sizes; the hub of each is the class with the least mixed digest.
-        lo = at
-        while lo < at + m:
-            hi = lo + int(np.searchsorted(n[lo : at + m], n[lo] * DEN // NUM, "right"))
-            hub = lo + int(mix(sig[lo:hi].view(np.uint64)).argmin())
-            rest = np.delete(np.arange(lo, hi), hub - lo)
-            a.append(rest)
-            b.append(np.full(len(rest), hub))
-            s.append(np.ones(len(rest), np.int64))
-            # Classes of the next band may still fit this one: they meet its hub as well.
-            top = lo + int(np.searchsorted(n[lo : at + m], n[hub] * DEN // NUM, "right"))
-            if top > hi:
-                a.append(np.arange(hi, top))
-                b.append(np.full(top - hi, hub))
-                s.append(np.ones(top - hi, np.int64))
-            lo = hi
-    a, b, s = map(np.concatenate, (a, b, s))
-    fit = np.minimum(n[a], n[b]).astype(np.int64) * DEN >= np.maximum(n[a], n[b]).astype(np.int64) * NUM
-    a, b, s = a[fit], b[fit], s[fit]
-    # One orientation for each pair.
-    low = mix(sig[a].view(np.uint64)) < mix(sig[b].view(np.uint64))
-    a, b = np.where(low, b, a), np.where(low, a, b)
-    yield _pair_batch(sig[a], sig[b], n[a], n[b], s)
-
-
-def _rest(shared):
-    """Pairs of classes that are still open with all classes beside them in an often shared shingle."""
+def _side_by_side(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, sa, sb): the two sets of each pair."""
+    left = sets.select(F.col("sig").alias("ka"), F.col("set").alias("sa"))
+    right = sets.select(F.col("sig").alias("kb"), F.col("set").alias("sb"))
+    return pairs.select("a", "b").join(left, F.col("a") == F.col("ka")).select("a", "b", "sa").join(right, F.col("b") == F.col("kb")).select("a", "b", "sa", "sb")
 
-    def reduce(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        is_open = shared.value
-        tok, sig, n = _tokens_of(held[0])
-        begin, size = _groups(tok)
-        flag = is_open[_bit(sig.view(np.uint64))]
-        a, b = [], []
-        held_pairs = 0
-        for at, m in zip(begin[size > ALL_PAIRS], size[size > ALL_PAIRS]):
-            for i in at + np.flatnonzero(flag[at : at + m]):
-                lo = at + int(np.searchsorted(n[at : at + m], -(-int(n[i]) * NUM // DEN), "left"))
-                hi = at + int(np.searchsorted(n[at : at + m], int(n[i]) * DEN // NUM, "right"))
-                j = np.arange(lo, hi)
-                j = j[(j != i) & ~(flag[j] & (j < i))]
-                a.append(np.full(len(j), i))
-                b.append(j)
-                held_pairs += len(j)
-            if held_pairs > 500_000:
-                yield _oriented(sig, n, np.concatenate(a), np.concatenate(b))
-                a, b, held_pairs = [], [], 0
-        if a:
-            yield _oriented(sig, n, np.concatenate(a), np.concatenate(b))
-
-    return reduce
-
-
-def _oriented(sig, n, a, b) -> pa.RecordBatch:
-    low = mix(sig[a].view(np.uint64)) < mix(sig[b].view(np.uint64))
-    a, b = np.where(low, b, a), np.where(low, a, b)
-    return _pair_batch(sig[a], sig[b], n[a], n[b], np.ones(len(a), np.int64))
-
-
-def count_overlaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Add to the pairs whether they are links: overlaps are counted by fragment and summed."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(member_filter(pairs, ["a", "b"])))
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
-        for _, _, sets, bounds, digest in _each_chunk(batches, 0):
-            sig, frag, seg = [], [], []
-            for i in _once(digest, bounds):
-                if wanted[_bit(digest[i : i + 1].view(np.uint64))][0]:
-                    s = sets[bounds[i] : bounds[i + 1]]
-                    cuts = np.searchsorted(s >> _U(32), np.arange(FRAGMENTS + 1, dtype=np.uint64) * _U((1 << 32) // FRAGMENTS))
-                    for f in range(FRAGMENTS):
-                        if cuts[f + 1] > cuts[f]:
-                            sig.append(digest[i])
-                            frag.append(f)
-                            seg.append(s[cuts[f] : cuts[f + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.binary())], names=["sig", "frag", "seg"])
-
-    segs = texts.mapInArrow(segments, "sig bigint, frag int, seg binary").dropDuplicates(["sig", "frag"])
-    left = segs.select(F.col("sig").alias("a"), F.col("frag").alias("fa"), F.col("seg").alias("sa"))
-    right = segs.select(F.col("sig").alias("sb"), F.col("frag").alias("fb"), F.col("seg").alias("xb"))
-    asked = pairs.select("a", "b").withColumn("f", F.explode(F.array(*[F.lit(k) for k in range(FRAGMENTS)])))
-    both = asked.join(left.withColumnRenamed("a", "ka"), (F.col("a") == F.col("ka")) & (F.col("f") == F.col("fa"))).select("a", "b", "f", "sa")
-    both = both.join(right, (F.col("b") == F.col("sb")) & (F.col("f") == F.col("fb"))).select("a", "b", "sa", "xb")
+
+def count_overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Add inter and link to pairs(a, b, na, nb)."""
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.zeros(b.num_rows, np.int64)
             for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                out[k] = np.count_nonzero(y[at] == x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["a", "b", "part"])
+                out[k] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["a", "b", "inter"])
+
+    inter = _side_by_side(sets, pairs).mapInArrow(overlap, "a bigint, b bigint, inter bigint").withColumnRenamed("a", "oa").withColumnRenamed("b", "ob")
+    counted = pairs.join(inter, (F.col("a") == F.col("oa")) & (F.col("b") == F.col("ob"))).drop("oa", "ob")
+    return counted.withColumn("link", F.col("inter") * DEN >= (F.col("na") + F.col("nb") - F.col("inter")) * NUM)
 
-    parts = both.mapInArrow(overlap, "a bigint, b bigint, part bigint").groupBy(F.col("a").alias("oa"), F.col("b").alias("ob")).agg(F.sum("part").alias("inter"))
-    counted = pairs.join(parts, (F.col("a") == F.col("oa")) & (F.col("b") == F.col("ob")), "left").drop("oa", "ob")
-    inter = F.coalesce("inter", F.lit(0))
-    return counted.select("a", "b", "star", (inter * DEN >= (F.col("na") + F.col("nb") - inter) * NUM).alias("link"))
+
+def _outside(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, tok) for the shingles of a outside b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True) for x, y in zip(b.column(2), b.column(3))]
+            n = [len(g) for g in got]
+            ids = [pa.array(np.repeat(np.asarray(b.column(c)), n)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64))], names=["a", "b", "tok"])
+
+    return _side_by_side(sets, pairs).mapInArrow(run, "a bigint, b bigint, tok bigint")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -392,63 +339,94 @@ def connected_components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     texts = docs.select(F.col(text_col).alias("t"))
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketch = frequency_sketch(texts)
+    shared = _context(texts, sketch)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, i, _, bounds, digest in _each_chunk(batches, 1):
+        sketch, _ = shared.value
+        for b, i, sets, bounds, digest in _each_chunk(batches, 1):
             n = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(n)), pa.array(n), pa.array(digest, mask=n == 0)], names=["id", "n", "sig"])
+            total = np.concatenate([[0.0], np.cumsum(np.log2(sketch[(sets % _U(SKETCH)).astype(np.int64)]))])
+            mean = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(n)), pa.array(n), pa.array(digest, mask=n == 0), pa.array((mean * 1000).astype(np.int32))], names=["id", "n", "sig", "usual"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(digests, f"id {kind}, n bigint, sig bigint")
-    rows = checkpoint(rows)
-
-    sketch = frequency_sketch(texts)
-    found = by_part(_first_shingles(texts, sketch, parts), parts, _candidates, _PAIR_SCHEMA)
-    pairs = checkpoint(found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star")))
-    judged = checkpoint(count_overlaps(texts, pairs))
+    rows = checkpoint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(digests, f"id {kind}, n bigint, sig bigint, usual int"))
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("usual").alias("usual"))
+    size = lambda c, out: (classes.select(F.col("sig").alias(f"s_{c}"), F.col("n").alias(out)), F.col(c) == F.col(f"s_{c}"))
+    least = lambda n: 1 + F.floor(n / 4)
+    fit = "na * 4 >= nb * 3 and nb * 4 >= na * 3"
+
+    parts = PARTS_PER_PARTITION * partitions
+    found = checkpoint(by_part(_first_shingles(texts, shared, parts), parts, _candidates, CELL_SCHEMA))
+    large = _unpacked(found, 1, _LARGE, "sig bigint, tok bigint")
+    in_large = large.groupBy("sig").agg(F.count("*").alias("large"))
+    large_of = lambda c, out: (in_large.select(F.col("sig").alias(f"l_{c}"), F.col("large").alias(out)), F.col(c) == F.col(f"l_{c}"), "left")
+    # Pairs of small groups whose partial counts can still reach the least.
+    small = _unpacked(found, 0, _PAIRS, "a bigint, b bigint, n int").groupBy("a", "b").agg(F.sum("n").alias("shared")).join(*size("a", "na")).join(*size("b", "nb")).where(fit)
+    small = small.join(*large_of("a", "la")).join(*large_of("b", "lb"))
+    small = small.where(F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= least(F.least("na", "nb"))).select("a", "b", "na", "nb", F.lit(False).alias("star"), F.lit(None).cast("bigint").alias("low"))
+
+    dense = checkpoint(in_large.join(classes.withColumnRenamed("sig", "c"), F.col("sig") == F.col("c")).where(F.col("large") >= least(F.ceil(F.col("n") * 3 / 4))).select("sig", "n", "usual"))
+    members = checkpoint(large.join(dense.withColumnRenamed("sig", "d"), F.col("sig") == F.col("d")).select("tok", "sig", "n", "usual", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3 + 1e-9))).cast("int").alias("band")))
+    hubs = members.groupBy("tok", "band").agg(F.max(F.struct("usual", F.xxhash64("sig"), F.struct("sig", "n").alias("hub"))).alias("x")).select(F.col("tok").alias("h_tok"), F.col("band").alias("h_band"), F.col("x.hub.sig").alias("hub"), F.col("x.hub.n").alias("nh"))
+    lows = members.groupBy(F.col("tok").alias("w_tok")).agg(F.min("n").alias("low"))
+    # Linked classes lie in one band or in neighbouring ones, so both meet the hub of either's band.
+    near = hubs.join(lows, F.col("h_tok") == F.col("w_tok")).select("h_tok", "hub", "nh", "low", F.explode(F.array(*[F.col("h_band") + d for d in (-1, 0, 1)])).alias("for_band"))
+    stars = members.join(near, (F.col("tok") == F.col("h_tok")) & (F.col("band") == F.col("for_band"))).where("sig != hub").groupBy(F.col("sig").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("na"), F.max("nh").alias("nb"), F.min("low").alias("low"))
+    pairs = small.unionByName(stars.select("a", "b", "na", "nb", F.lit(True).alias("star"), "low"))
+    pairs = checkpoint(pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star"), F.min("low").alias("low")))
+    sets = checkpoint(_sets(texts, pairs, ["a", "b"]))
+    judged = checkpoint(count_overlaps(sets, pairs))
     links = judged.where("link").select("a", "b")
     roots = connected_components(links)
-    # Classes whose star pair is no link and leads to another component are still open.
-    failed = judged.where("star = 1 and not link").select("a", "b")
-    root = lambda c, out: (roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(out)), F.col(c) == F.col(f"n{c}"), "left")
-    open_ = failed.join(*root("a", "ra")).join(*root("b", "rb")).where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
-    open_ = checkpoint(open_)
+
+    # Dense classes that are neither linked to a hub nor in its component are open.
+    root = lambda c, out: (roots.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(out)), F.col(c) == F.col(f"n_{c}"), "left")
+    apart = lambda df, x, y: df.join(*root(x, "rx")).join(*root(y, "ry")).where(f"coalesce(rx, {x}) != coalesce(ry, {y})").drop("rx", "ry", f"n_{x}", f"n_{y}")
+    open_ = checkpoint(apart(judged.where("star and not link"), "a", "b"))
     if not open_.isEmpty():
-        more = checkpoint(_open_pairs(texts, sketch, parts, open_, roots, judged))
-        links = links.unionAll(count_overlaps(texts, more).where("link").select("a", "b"))
-        roots = connected_components(links)
+        more = checkpoint(apart(_left_over(sets, open_, dense, judged), "a", "b").join(judged.select(F.col("a").alias("ja"), F.col("b").alias("jb")), (F.col("a") == F.col("ja")) & (F.col("b") == F.col("jb")), "left_anti"))
+        again = count_overlaps(sets, more).where("link").select("a", "b")
+        roots = connected_components(links.unionAll(again))
     member = rows.join(roots, F.col("sig") == F.col("node"), "left").select("id", "n", F.coalesce("root", "sig").alias("root"))
-    least = member.where("root is not null").groupBy(F.col("root").alias("g")).agg(F.min("id").alias("least"))
-    return member.join(least, F.col("root") == F.col("g"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    least_id = member.where("root is not null").groupBy(F.col("root").alias("g")).agg(F.min("id").alias("least"))
+    return member.join(least_id, F.col("root") == F.col("g"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def _open_pairs(texts: DataFrame, sketch: np.ndarray, parts: int, open_: DataFrame, roots: DataFrame, judged: DataFrame) -> DataFrame:
-    """Pairs of open classes with classes of other components that share a first shingle, not yet judged."""
-    context = texts.sparkSession.sparkContext
-    is_open = member_filter(open_, ["a"])
-    shared = context.broadcast(is_open)
-    base = 4.0 * max(float(sketch.mean()), 2.0)
-    tables = context.broadcast((sketch, is_open))
+def _left_over(sets: DataFrame, open_: DataFrame, dense: DataFrame, judged: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) that open classes can still link: see step 4 of the module."""
+    outside = checkpoint(_outside(sets, open_).withColumnRenamed("b", "hub"))
+    # The shingles of dense classes that some open class has outside its hub; every dense class with a star has its set.
+    passes = sets.sparkSession.sparkContext.broadcast(np.packbits(member_filter(outside, ["tok"])))
 
-    # Which first shingles open classes have: a filter on places.
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, is_open = tables.value
-        for _, _, sets, bounds, digest in _each_chunk(batches, 0):
-            place = _ordered(sets, sketch, base)
-            for i in _once(digest, bounds):
-                if is_open[_bit(digest[i : i + 1].view(np.uint64))][0]:
-                    p = np.sort(place[bounds[i] : bounds[i + 1]])
-                    p = p[: int(prefix_length(np.int64(len(p))))]
-                    yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64))], names=["p"])
-
-    places = member_filter(texts.mapInArrow(mine, "p bigint"), ["p"])
-    found = by_part(_first_shingles(texts, sketch, parts, places), parts, _rest(shared), _PAIR_SCHEMA)
-    found = found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star"))
-    ra = roots.select(F.col("node").alias("n1"), F.col("root").alias("r1"))
-    rb = roots.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-    found = found.join(ra, F.col("a") == F.col("n1"), "left").join(rb, F.col("b") == F.col("n2"), "left").where("coalesce(r1, a) != coalesce(r2, b)").select("a", "b", "na", "nb", "star")
-    return found.join(judged.select(F.col("a").alias("ja"), F.col("b").alias("jb")), (F.col("a") == F.col("ja")) & (F.col("b") == F.col("jb")), "left_anti")
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_tok = np.unpackbits(passes.value).astype(bool)
+        for b in batches:
+            got = [(s := np.frombuffer(v.as_buffer(), np.uint64))[of_tok[_bit(s)]] for v in b.column(2)]
+            n = [len(g) for g in got]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), n)), pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64)), pa.array(np.repeat(np.asarray(b.column(1)), n))], names=["y", "y_tok", "ny"])
+
+    of_dense = sets.join(dense.select(F.col("sig").alias("d"), F.col("n").alias("ny")), F.col("sig") == F.col("d")).select("sig", "ny", "set")
+    wanted = outside.select("tok").distinct()
+    held = checkpoint(of_dense.mapInArrow(holders, "y bigint, y_tok bigint, ny bigint").join(wanted, F.col("y_tok") == F.col("tok"), "left_semi"))
+    common = held.groupBy(F.col("y_tok").alias("g_tok")).agg(F.count("*").alias("holders"))
+    known = outside.join(common, F.col("tok") == F.col("g_tok")).where("holders > 1").select("a", "hub", "tok", "holders")
+    granted = known.groupBy(F.col("a").alias("ga"), F.col("hub").alias("gh")).agg(F.count_if(F.col("holders") > EXPANDED).alias("granted"))
+    z = open_.join(granted, (F.col("a") == F.col("ga")) & (F.col("b") == F.col("gh")), "left").select("a", F.col("b").alias("hub"), "na", "low", "inter", F.coalesce("granted", F.lit(0)).alias("granted"), (F.col("inter") + F.coalesce("granted", F.lit(0))).alias("had"))
+    z = checkpoint(z)
+    need = lambda n: F.ceil((F.col("na") + n) * NUM / (NUM + DEN)) - F.col("had")
+    # Where every class of the groups must share something outside the hub, those shingles find it.
+    cold = known.where(F.col("holders") <= EXPANDED).select(F.col("a").alias("ka"), F.col("hub").alias("kh"), "tok")
+    shared = cold.join(held, F.col("tok") == F.col("y_tok")).where("ka != y").groupBy("ka", "kh", "y").agg(F.count("*").alias("shared"), F.max("ny").alias("ny"))
+    narrow = shared.join(z, (F.col("ka") == F.col("a")) & (F.col("kh") == F.col("hub"))).where(F.col("shared") >= need(F.col("ny"))).select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb"))
+    # Where that bound asks for nothing, the class meets those that share its hub, as far as their overlap with the hub allows.
+    wide = z.where(need(F.col("low")) < 1).select("a", F.col("hub").alias("wh"), "na", F.col("inter").alias("own"), "granted")
+    others = judged.where("star").select(F.col("a").alias("y"), F.col("b").alias("yh"), F.col("na").alias("ny"), F.col("inter").alias("theirs"))
+    enough = (F.least("own", "theirs") + F.col("granted")) * (NUM + DEN) >= (F.col("na") + F.col("ny")) * NUM
+    met = wide.join(others, (F.col("wh") == F.col("yh")) & (F.col("a") != F.col("y")) & enough).select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb"))
+    return narrow.unionAll(met).where("na * 4 >= nb * 3 and nb * 4 >= na * 3").distinct()
 
 
 __all__ = ["connected_components", "count_overlaps", "jaccard_components", "shingle_sets"]
