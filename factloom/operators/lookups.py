@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import dtype, scalars
 
 
 def first_by(df: DataFrame, keys: list[str], value: Column, order: Column, name: str) -> DataFrame:
@@ -230,3 +230,49 @@ def file_for(requests: DataFrame, class_methods: DataFrame) -> DataFrame:
 def parameter_names(params: DataFrame) -> DataFrame:
     """Names in order for each method."""
     return params.groupBy("class", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda p: p["name"]).alias("names"))
+
+
+def harvest_returns(methods: DataFrame, return_sites: DataFrame, exprs: DataFrame) -> DataFrame:
+    """A row for each return statement of the methods, in order, with its type and place; a bare return is void."""
+    sites = return_sites.select(F.col("class").alias("rc"), F.col("method").alias("rm"), F.col("file").alias("rf"), "ord", "pos", "line", "expr_id")
+    on = F.col("class").eqNullSafe(F.col("rc")) & (F.col("method") == F.col("rm")) & (F.col("file") == F.col("rf"))
+    types = exprs.select(F.col("expr_id").alias("ee"), "type_json")
+    typed = methods.join(sites, on).join(types, F.col("expr_id") == F.col("ee"), "left")
+    kind = F.when(F.col("expr_id").isNull(), dtype.void_type()).otherwise(F.coalesce("type_json", dtype.unknown("unresolved type")))
+    return typed.select("class", "method", "file", "ord", "pos", "line", kind.alias("type"))
+
+
+def node_view(exprs: DataFrame, places: DataFrame) -> DataFrame:
+    """What a visitor may see of a node: its type, its constant (a folded null stays apart from none) and its place."""
+    p = places.select(F.col("expr_id").alias("pe"), scalars.written_location(F.col("trait_file"), F.col("scope_file"), F.col("pos"), F.col("line")).alias("location"))
+    return exprs.join(p, F.col("expr_id") == F.col("pe"), "left").select("expr_id", F.coalesce("type_json", dtype.unknown("unresolved type")).alias("type"), F.col("const").alias("constant"), "location")
+
+
+def payload_provenance(returns: DataFrame, first_arrays: DataFrame, items: DataFrame) -> DataFrame:
+    """Where the members of each returned array come from: the array of J17, its items by X10.
+
+    ``items(expr_id, ord, key, accessor)``.
+    """
+    listed = items.groupBy(F.col("expr_id").alias("ie")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key", "accessor"))), lambda i: F.struct(i["key"], i["accessor"])).alias("items"))
+    arrays = body_array(returns, first_arrays)
+    return arrays.join(listed, F.col("array_expr") == F.col("ie")).withColumn("provenance", scalars.provenance_from_array(F.col("items"))).drop("ie", "items")
+
+
+def labelled_content_type(explicit: Column, labelled: Column) -> Column:
+    """A label counts only where the response names no type itself."""
+    return F.coalesce(explicit, labelled)
+
+
+def rehome_accessor(accessor: Column, caller_param: Column) -> Column:
+    """The same accessor on the caller's parameter; null if the argument is none."""
+    return F.when(caller_param.isNotNull(), accessor.withField("param", caller_param))
+
+
+def total(result: Column, error: Column) -> Column:
+    """A failed analysis is an unknown type that says so, never an exception."""
+    return F.when(error.isNotNull(), dtype.unknown(F.concat(F.lit("analysis failed: "), error))).otherwise(result)
+
+
+def failures(rows: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """A warning for each failed analysis, with code ``inference.action-failed`` or ``inference.callable-failed``."""
+    return rows.where("error is not null").select(*keys, F.lit("Warning").alias("severity"), F.lit(code).alias("code"), F.col("error").alias("message"))

@@ -96,11 +96,7 @@ class Engine:
         located = actions.join(f["methods"].select(F.col("class").alias("mc"), F.col("method").alias("mm"), F.col("file").alias("mf")), (F.col("class").eqNullSafe(F.col("mc"))) & (F.col("method") == F.col("mm")) & (F.col("file") == F.col("mf")), "left")
         missing = located.where("mm is null").select(_method_key().alias("entry"), F.lit("Warning").alias("severity"), F.lit("inference.method-not-found").alias("code"), F.lit("no analysable body").alias("message"))
         here = located.where("mm is not null").select("class", "method", "file")
-        sites = here.join(f["return_sites"].select(F.col("class").alias("rc"), F.col("method").alias("rm"), F.col("file").alias("rf"), "ord", "pos", "line", "expr_id"), F.col("class").eqNullSafe(F.col("rc")) & (F.col("method") == F.col("rm")) & (F.col("file") == F.col("rf")))
-        types = f["exprs"].select(F.col("expr_id").alias("ee"), "type_json")
-        returns = sites.join(types, F.col("expr_id") == F.col("ee"), "left")
-        kind = F.when(F.col("expr_id").isNull(), dtype.void_type()).otherwise(F.coalesce("type_json", dtype.unknown("unresolved type")))
-        returns = returns.select(_method_key().alias("entry"), "ord", kind.alias("type"), "file", "line")
+        returns = lookups.harvest_returns(here, f["return_sites"], f["exprs"]).select(_method_key().alias("entry"), "ord", "type", "file", "line")
         throws = self.throws(here)
         explained = self.points_explained(here)
         dropped = aggregates.dropped_count(explained, ["entry"]).where("dropped > 0").select("entry", F.lit("Hint").alias("severity"), F.lit("inference.throw-noise-dropped").alias("code"), F.concat(F.col("dropped").cast("string"), F.lit(" throw points explained by nothing")).alias("message"))

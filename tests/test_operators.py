@@ -230,3 +230,19 @@ def test_status_binding(spark):
 def test_keyed_result_types(spark):
     got = spark.range(1).select(dtype.keyed_array(dtype.scalar("string"), dtype.scalar("int")).alias("t")).first().t
     assert json.loads(got)["key"]["name"] == "string"
+
+
+def test_views_and_totality(spark):
+    acc = scalars.ACCESSOR
+    returns = spark.createDataFrame([("s", "v", None, False), ("s", None, 7, True)], "scope_key string, var_name string, expr_id long, is_array boolean")
+    arrays = spark.createDataFrame([("s", "v", 5)], "scope_key string, var string, expr_id long")
+    items = spark.createDataFrame([(5, 0, "a", ("p", "Identity", None)), (5, 1, "a", ("q", "Identity", None)), (7, 0, "b", ("r", "Name", None))], f"expr_id long, ord int, key string, accessor {acc}")
+    got = lookups.payload_provenance(returns, arrays, items)
+    assert sorted((r.array_expr, {k: v.param for k, v in r.provenance.items()}) for r in got.collect()) == [(5, {"a": "q"}), (7, {"b": "r"})]
+    exprs = spark.createDataFrame([(1, None, (None,)), (2, '{"kind":"void"}', None)], "expr_id long, type_json string, const struct<v: string>")
+    places = spark.createDataFrame([(1, "t.php", "s.php", -1, 4)], "expr_id long, trait_file string, scope_file string, pos long, line int")
+    a, b = lookups.node_view(exprs, places).orderBy("expr_id").collect()
+    assert a.constant is not None and a.constant.v is None and tuple(a.location) == ("t.php", 4, None) and b.constant is None and b.location is None
+    f = spark.createDataFrame([("x", None), ("y", "boom")], "entry string, error string")
+    assert rows(lookups.failures(f, ["entry"], "inference.action-failed"), "entry", "code", "message") == [("y", "inference.action-failed", "boom")]
+    assert [json.loads(r.t)["kind"] for r in f.select(lookups.total(dtype.void_type(), F.col("error")).alias("t")).collect()] == ["void", "unknown"]
