@@ -58,13 +58,29 @@ SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY root, node
 """)
 def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 (set form), W12. Suppliers as methods, neighbouring large order lines as calls, three levels."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return _reach(spark, sf_dir, "l_quantity >= 45", "s_suppkey <= 5")
+
+
+def _reach(spark: SparkSession, sf_dir: str, lines: str, suppliers: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").where(lines).select("l_orderkey", "l_linenumber", "l_suppkey")
     a = li.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_suppkey").alias("src"))
     edges = a.join(li, (F.col("o") == F.col("l_orderkey")) & (F.col("n") == F.col("l_linenumber"))).select("src", F.col("l_suppkey").alias("dst")).distinct()
-    roots = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("root"))
+    roots = table(spark, sf_dir, "supplier").where(suppliers).select(F.col("s_suppkey").alias("root"))
     return graph.bounded_reach(roots, edges, 3)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b
+    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+r(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier
+    UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3)
+SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY root, node
+""")
+def bounded_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 (set form), W12. As ``bounded_reach``, from every supplier over all order lines."""
+    return _reach(spark, sf_dir, "true", "true")
+
+
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     guard = F.when(F.col("o_orderpriority") == "5-LOW", guards.no_guard()).otherwise(F.array(F.array("o_orderpriority")))
@@ -217,6 +233,12 @@ def unique_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.unique_by_name(table(spark, sf_dir, "customer").where("c_custkey < 300"), ["c_nationkey", "c_mktsegment"], F.col("c_custkey"), "custkey")
 
 
+@query("SELECT c_nationkey, c_mktsegment, min(c_custkey) AS custkey FROM customer GROUP BY 1, 2 HAVING count(*) = 1")
+def unique_name_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8, S10. As ``unique_name``, over all customers."""
+    return aggregates.unique_by_name(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], F.col("c_custkey"), "custkey")
+
+
 @query("""
 WITH m AS (SELECT c_nationkey AS file, c_mktsegment AS class, 'm' || (c_custkey % 50) AS method, min(c_custkey)::BIGINT AS ord FROM customer GROUP BY 1, 2, 3),
 r AS (SELECT DISTINCT file, 'BUILDING' AS class, method FROM m), u AS (SELECT file, method, min(class) AS class, min(ord) AS ord FROM m GROUP BY 1, 2 HAVING count(*) = 1)
@@ -296,9 +318,22 @@ r(sub, super) AS (SELECT sub, super FROM p UNION SELECT r.sub, p.super FROM r JO
 def hierarchy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G11. Supplier k below k/2 as class and parent."""
     s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0 AND s_suppkey > 0 AND s_suppkey < 40")
+    return _halves(s)
+
+
+def _halves(s: DataFrame) -> DataFrame:
     return graph.class_closure(s.select(F.col("s_suppkey").alias("sub"), F.floor(F.col("s_suppkey") / 2).cast("bigint").alias("super")), reflexive=False)
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT s_suppkey AS sub, s_suppkey // 2 AS super FROM supplier WHERE s_suppkey <> s_suppkey // 2),
+r(sub, super) AS (SELECT sub, super FROM p UNION SELECT r.sub, p.super FROM r JOIN p ON r.super = p.sub) SELECT sub, super FROM r
+""")
+def hierarchy_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G11. As ``hierarchy_closure``, over all suppliers; supplier 0 is the top and has no parent."""
+    return _halves(table(spark, sf_dir, "supplier"))
+
+
 @query("SELECT o_custkey, CASE WHEN count(*) = 1 AND bool_and(o_orderstatus = 'F') THEN min(o_orderkey) END AS value FROM orders GROUP BY 1")
 def single_terminating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12. A customer's only order, if it is finished, as the only return of a body that always returns."""
@@ -549,14 +584,33 @@ SELECT DISTINCT entry::VARCHAR AS entry, exception, status::INT AS status FROM a
 """)
 def descended_throws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1, T2. Nations as methods, customers as call edges between them, three levels, path-local cycle guard."""
+    return _descended(spark, sf_dir, "c_custkey < 60", "n_nationkey < 5")
+
+
+def _descended(spark: SparkSession, sf_dir: str, customers: str, nations: str) -> DataFrame:
     frame = F.struct(F.lit("m").alias("label"), F.lit("f").alias("file"), F.lit(1).alias("line"))
-    e = table(spark, sf_dir, "customer").where("c_custkey < 60").select(F.col("c_nationkey").cast("string").alias("caller"), (F.col("c_custkey") % 25).cast("string").alias("callee")).distinct().withColumn("ord", F.lit(1)).withColumn("frame", frame)
+    e = table(spark, sf_dir, "customer").where(customers).select(F.col("c_nationkey").cast("string").alias("caller"), (F.col("c_custkey") % 25).cast("string").alias("callee")).distinct().withColumn("ord", F.lit(1)).withColumn("frame", frame)
     n = table(spark, sf_dir, "nation")
     t = n.select(F.col("n_nationkey").cast("string").alias("method"), F.concat(F.lit("X"), (F.col("n_nationkey") % 4).cast("string")).alias("exception"), (400 + F.col("n_regionkey")).cast("int").alias("status"), F.lit("Certain").alias("confidence"), F.lit("Signal").alias("disposition"), F.lit(1).alias("ord"), frame.alias("frame"))
-    found = graph.descend_throws(n.where("n_nationkey < 5").select(F.col("n_nationkey").cast("string").alias("entry")), t, e)
+    found = graph.descend_throws(n.where(nations).select(F.col("n_nationkey").cast("string").alias("entry")), t, e)
     return aggregates.dedupe_throws(found, ["entry"], aggregates.confidence_rank(F.col("confidence")), ["order"]).select("entry", "exception", "status")
 
 
+@query("""
+WITH e AS (SELECT DISTINCT c_nationkey AS caller, c_custkey % 25 AS callee FROM customer),
+t AS (SELECT n_nationkey AS method, 'X' || (n_nationkey % 4) AS exception, 400 + n_regionkey AS status FROM nation),
+d0 AS (SELECT n_nationkey AS entry, n_nationkey AS m, []::INT[] AS path FROM nation),
+d1 AS (SELECT entry, callee AS m, list_append(path, callee::INT) AS path FROM d0 JOIN e ON m = caller WHERE NOT list_contains(path, callee::INT)),
+d2 AS (SELECT entry, callee AS m, list_append(path, callee::INT) AS path FROM d1 JOIN e ON m = caller WHERE NOT list_contains(path, callee::INT)),
+d3 AS (SELECT entry, callee AS m, list_append(path, callee::INT) AS path FROM d2 JOIN e ON m = caller WHERE NOT list_contains(path, callee::INT)),
+a AS (SELECT entry, m FROM d0 UNION ALL SELECT entry, m FROM d1 UNION ALL SELECT entry, m FROM d2 UNION ALL SELECT entry, m FROM d3)
+SELECT DISTINCT entry::VARCHAR AS entry, exception, status::INT AS status FROM a JOIN t ON a.m = t.method
+""")
+def descended_throws_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1, T2. As ``descended_throws``, from every nation over all customers."""
+    return _descended(spark, sf_dir, "true", "true")
+
+
 @query("""
 WITH p AS (SELECT DISTINCT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'Throwable' ELSE 'E' || (l_suppkey % 5) END AS exception, l_quantity >= 30 AS is_literal, l_tax > 0.04 AS project FROM lineitem WHERE l_discount >= 0.05)
 SELECT l_orderkey, exception, CASE WHEN exception = 'E1' THEN 404 ELSE 500 END::INT AS status, CASE WHEN is_literal THEN 'Certain' ELSE 'Declared' END AS confidence,
@@ -564,28 +618,52 @@ SELECT l_orderkey, exception, CASE WHEN exception = 'E1' THEN 404 ELSE 500 END::
 """)
 def explicit_throws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2, F6. Order lines as explicit throw points; returned lines throw nothing concrete."""
-    li = table(spark, sf_dir, "lineitem").where("l_discount >= 0.05")
+    return _explicit(spark, sf_dir, "l_discount >= 0.05")
+
+
+def _explicit(spark: SparkSession, sf_dir: str, lines: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").where(lines)
     name = F.when(F.col("l_returnflag") == "R", "Throwable").otherwise(F.concat(F.lit("E"), (F.col("l_suppkey") % 5).cast("string")))
     p = li.select("l_orderkey", F.lit(True).alias("explicit"), F.array(name, F.lit("Exception")).alias("types"), (F.col("l_quantity") >= 30).alias("is_literal"), (F.col("l_tax") > 0.04).alias("project_callee")).distinct()
     statuses = spark.range(1).select(F.lit("E1").alias("exception"), F.lit(404).alias("status"))
     return graph.explicit_throws(p, statuses).select("l_orderkey", "exception", "status", "confidence", "disposition", "is_literal", F.col("project_callee").alias("project"))
 
 
+@query("""
+WITH p AS (SELECT DISTINCT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'Throwable' ELSE 'E' || (l_suppkey % 5) END AS exception, l_quantity >= 30 AS is_literal, l_tax > 0.04 AS project FROM lineitem)
+SELECT l_orderkey, exception, CASE WHEN exception = 'E1' THEN 404 ELSE 500 END::INT AS status, CASE WHEN is_literal THEN 'Certain' ELSE 'Declared' END AS confidence,
+  CASE WHEN is_literal OR project OR exception = 'E1' THEN 'Signal' ELSE 'Internal' END AS disposition, is_literal, project FROM p WHERE exception <> 'Throwable'
+""")
+def explicit_throws_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2, F6. As ``explicit_throws``, over all order lines."""
+    return _explicit(spark, sf_dir, "true")
+
+
 @query(None)
 def exact_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3, T1, W8, D1. Suppliers as methods, neighbouring large order lines as calls in order of place; depth-first, four levels, 40 files.
 
     Depth-first order with a global visited set is not a SQL recursion; the unit tests hold it against a plain walk.
     """
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 47").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return _traced(spark, sf_dir, "l_quantity >= 47", "s_suppkey <= 8")
+
+
+def _traced(spark: SparkSession, sf_dir: str, lines: str, suppliers: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").where(lines).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     a = li.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_suppkey").cast("string").alias("src"))
     e = a.join(li, (F.col("o") == F.col("l_orderkey")) & (F.col("n") == F.col("l_linenumber"))).select("src", F.col("l_suppkey").cast("string").alias("dst"), F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("ord"))
     e = e.withColumn("dst_file", F.concat(F.lit("f"), (F.col("dst").cast("int") % 60).cast("string")))
     ordered = windows.descend_order(e, ["src"], ["dst", "dst_file"]).select("src", "dst", "dst_file", F.col("place").alias("pos"), F.lit(0).alias("ord"))
-    roots = table(spark, sf_dir, "supplier").where("s_suppkey <= 8").select(F.col("s_suppkey").cast("string").alias("root"), F.concat(F.lit("f"), (F.col("s_suppkey") % 60).cast("string")).alias("root_file"))
+    roots = table(spark, sf_dir, "supplier").where(suppliers).select(F.col("s_suppkey").cast("string").alias("root"), F.concat(F.lit("f"), (F.col("s_suppkey") % 60).cast("string")).alias("root_file"))
     return graph.trace(roots, ordered)
 
 
+@query(None)
+def exact_trace_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3, T1, W8, D1. As ``exact_trace``, from every supplier over all order lines; no SQL either."""
+    return _traced(spark, sf_dir, "true", "true")
+
+
 @query("""
 SELECT o_orderkey AS req, o_custkey % 3 <> 0 AND o_orderkey % 5 + o_custkey % 4 <= 4 AND CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 3 END <= 2 AS hit FROM orders
 """)
@@ -637,3 +715,10 @@ def primed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3, S4. Suppliers as the known files, customers as new ones."""
     name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string")).alias("file")
     return facts.prime(table(spark, sf_dir, "supplier").select(name("s_suppkey")), table(spark, sf_dir, "customer").where("c_custkey < 200").select(name("c_custkey")))
+
+
+@query("SELECT 'f' || s_suppkey AS file FROM supplier UNION SELECT 'f' || c_custkey FROM customer")
+def primed_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3, S4. As ``primed_files``, with all customers."""
+    name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string")).alias("file")
+    return facts.prime(table(spark, sf_dir, "supplier").select(name("s_suppkey")), table(spark, sf_dir, "customer").select(name("c_custkey")))
