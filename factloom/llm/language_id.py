@@ -7,10 +7,13 @@ character wins. Automata are built on a bounded sample, at most
 ``SAMPLE_CHARS`` characters of each language, taken in order of a hash of the
 id; all texts are then parsed whole.
 
-For speed the automata's transition tables are laid out densely and texts are
-cut into strips of ``STRIP`` characters that all advance in step; a phrase ends
-at a strip's end, which adds at most one phrase in ``STRIP`` characters for each
-language alike.
+Every character of the samples has a symbol of its own, small and capital
+letters one for both, whatever the number of scripts; a character that a
+language's sample lacks ends the phrase in that language, and the next phrase,
+which it begins, goes on with the match after it. For speed the automata's steps stand in one open-addressed table, whose size follows the
+samples and not the alphabet, and texts are cut into strips of ``STRIP``
+characters that all advance in step; a phrase ends at a strip's end, which adds
+at most one phrase in ``STRIP`` characters for each language alike.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0.0; so is every text if nothing was learned; if languages tie, the smaller
@@ -33,12 +36,10 @@ SAMPLE_CHARS = 40_000
 SAMPLE_DOCS = 400
 SAMPLE_SLICE = 2_000
 STRIP = 512
-#: Symbols of the automata's alphabet; 0 is every character outside it.
-SYMBOLS = 64
 #: Steepness with which phrases a character become a score.
 STEEPNESS = 60.0
 
-_FLAG = np.int32(1 << 30)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def codepoints(text: str) -> np.ndarray:
@@ -46,7 +47,7 @@ def codepoints(text: str) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """Of a sequence of symbols 0 to ``SYMBOLS`` - 1: ``next[state]`` maps a symbol to a state; 0 is the root."""
+    """Of a sequence of symbols: ``next[state]`` maps a symbol to a state; 0 is the root."""
 
     def __init__(self, symbols: list[int]):
         self.next: list[dict[int, int]] = [{}]
@@ -76,35 +77,73 @@ class SuffixAutomaton:
             last = cur
 
 
+class StepTable:
+    """From (state, symbol) to the next state, by open addressing with linear probes; steps may be missing."""
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray):
+        bits = max(4, (3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.targets[at[put]] = keys[left[put]], targets[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            at, left = (at[rest] + 1) & self.mask, left[rest]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _GOLDEN) >> self.shift).view(np.int64)
+
+    def step(self, keys: np.ndarray) -> np.ndarray:
+        """The next state for each key, -1 where there is none."""
+        at = self._home(keys)
+        held = self.keys.take(at)
+        to = np.where(held == keys, self.targets.take(at), np.int32(-1))
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            held = self.keys.take(at)
+            found = held == keys[left]
+            to[left[found]] = self.targets.take(at[found])
+            stay = ~found & (held >= 0)
+            at, left = at[stay], left[stay]
+        return to
+
+
 class LanguageModel:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        chars: dict[int, int] = {}
-        for t in samples.values():
-            values, counts = np.unique(codepoints(t.lower()), return_counts=True)
-            for v, c in zip(values.tolist(), counts.tolist()):
-                chars[v] = chars.get(v, 0) + c
-        common = sorted(sorted(chars), key=lambda v: -chars[v])[: SYMBOLS - 1]
-        self.symbol = np.zeros(0x110000, np.uint8)
-        self.symbol[common] = np.arange(1, len(common) + 1)
-        for v in common:  # texts are folded by this table: capital letters stand for their small ones
-            up = chr(v).upper()
-            if len(up) == 1:
-                self.symbol[ord(up)] = self.symbol[v]
-        tables, self.roots, base = [], [], 0
-        for lang in self.langs:
+        seen = np.unique(np.concatenate([codepoints(t) for t in samples.values()] + [np.zeros(0, np.uint32)])).tolist()
+        fold = lambda v: ord(chr(v).lower()) if len(chr(v).lower()) == 1 else v
+        #: The symbol of each character; 0 is every character that no sample has.
+        self.symbol = np.zeros(0x110000, np.int32)
+        for k, v in enumerate(sorted({fold(v) for v in seen}), 1):
+            self.symbol[v] = k
+            up = chr(v).upper()  # capital letters stand for their small ones
+            if len(up) == 1 and fold(ord(up)) == v:
+                self.symbol[ord(up)] = k
+        for v in seen:
+            self.symbol[v] = self.symbol[fold(v)]
+        self.width = int(self.symbol.max()) + 1
+        keys, targets, self.roots, base = [], [], [], 0
+        #: By language and symbol, the state after a phrase's first character; the root where the language lacks it.
+        self.first = np.zeros((len(self.langs), self.width), np.int32)
+        for j, lang in enumerate(self.langs):
             automaton = SuffixAutomaton(self.symbol[codepoints(samples[lang])].tolist()).next
-            t = np.full((len(automaton), SYMBOLS), -1, np.int32)
             for state, out in enumerate(automaton):
                 for s, to in out.items():
-                    t[state, s] = to + base
-            # A missing step ends the phrase, and the next one begins with this character.
-            root = np.where(t[0] < 0, base, t[0])
-            t = np.where(t < 0, root | _FLAG, t)
-            tables.append(t)
+                    keys.append((base + state) * self.width + s)
+                    targets.append(base + to)
+            self.first[j] = base
+            for s, to in automaton[0].items():
+                self.first[j, s] = base + to
             self.roots.append(base)
             base += len(automaton)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.table = StepTable(np.array(keys, np.int64), np.array(targets, np.int32))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and the texts' lengths in characters."""
@@ -120,15 +159,18 @@ class LanguageModel:
         order = np.argsort(-size, kind="stable")
         owner, start, size = owner[order], start[order], size[order]
         alive = np.searchsorted(-size, -np.arange(STRIP), "left")  # strips longer than each step
-        sym = np.append(sym, np.zeros(STRIP, np.uint8))
+        sym = np.append(sym, np.zeros(STRIP, np.int32))
         count = np.zeros((len(self.langs), len(texts)))
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
         ended = np.ones((len(self.langs), len(owner)), np.int32)
         for i in range(int(size[0]) if len(size) else 0):
             m = alive[i]
-            v = self.table.take(state[:, :m] * np.int32(SYMBOLS) + sym[start[:m] + i])
-            ended[:, :m] += v >> 30
-            state[:, :m] = v & (_FLAG - 1)
+            s, at = sym[start[:m] + i], state[:, :m]
+            to = self.table.step((at.astype(np.int64) * self.width + s).ravel()).reshape(at.shape)
+            # A missing step ends the phrase, and the next one begins with this character.
+            missing = to < 0
+            ended[:, :m] += missing
+            state[:, :m] = np.where(missing, self.first[:, s], to)
         for j in range(len(self.langs)):
             count[j] = np.bincount(owner, ended[j], len(texts))
         return count, n

@@ -374,6 +374,26 @@ def test_phrases_are_greedy_longest_matches():
             assert count[0][0] == n
 
 
+def test_large_alphabets_stay_apart():
+    """Languages beyond any 63 characters: every character counts, and one that a language never saw ends the phrase."""
+    rnd = random.Random(12)
+    ranges = {"han": (0x4E00, 900), "kana": (0x3041, 80), "ru": (0x430, 32), "uk": (0x450, 16), "el": (0x3B1, 24), "en": (0x61, 26)}
+    words = {k: ["".join(chr(at + rnd.randrange(n)) for _ in range(rnd.randint(1, 4))) for _ in range(400)] for k, (at, n) in ranges.items()}
+    draw = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    samples = {k: draw(k, 1500) for k in ranges}
+    model = language_id.LanguageModel(samples)
+    tests = [(k, draw(k, 60)) for k in ranges for _ in range(10)]
+    assert model.predict([t for _, t in tests])[0] == [k for k, _ in tests]
+    texts = [t for _, t in tests] + [draw("ru", 20).upper() + draw("en", 20) + "Ω☃"]
+    count, _ = model.phrases(texts)
+    for j, lang in enumerate(model.langs):
+        for i, t in enumerate(texts):
+            n, match = 1, ""
+            for c in t.lower():
+                n, match = (n, match + c) if match + c in samples[lang] else (n + 1, c if c in samples[lang] else "")
+            assert count[j][i] == n
+
+
 # ------------------------------------------------------------ 10 fingerprints
 
 
