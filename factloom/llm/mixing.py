@@ -11,8 +11,11 @@
    that the end falls in is put in order, so no source is sorted in one task.
 4. Positions: a source's weight at time t of the run is
    ``start + (end - start) * t`` relative to its mean; its integral is a
-   quadratic, and inverting it at the words a document's run begins with gives
-   the document's time, its training position. Documents are range-sorted by it.
+   quadratic. A source's words are taken in rounds, each in the order of 3, so a
+   document's k-th copy is met after ``k - 1`` rounds of the whole source and the
+   words before it. Inverting the integral at the share of all words the source
+   gives that lies before the copy's middle gives the copy's time, its training
+   position; each copy has its own. Copies are range-sorted by it.
 
 Defined results: null or blank texts have size 0 and are never taken; a null
 source is a source of its own, last in order; repeated rows are taken each by
@@ -77,9 +80,10 @@ def _ranked(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: id, source, size, source_size, target, copies, taken and position.
+    """Per document: id, source, size, source_size, target, copies, taken, position and positions.
 
-    ``taken`` is ``copies * size``; ``position`` is null where nothing is taken.
+    ``taken`` is ``copies * size``; ``positions`` has one for each copy, in
+    order, and ``position`` is the first, null where nothing is taken.
     """
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = checkpoint(_ranked(sized, ["id"]))
@@ -100,25 +104,31 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     extra = F.when(F.col("kind") == 1, 1).when(F.col("kind") == 0, 0).otherwise((F.col("from") + F.col("size") / 2 <= F.col("part")).cast("int"))
     copies = F.when(F.col("size") > 0, F.least(F.col("whole") + extra, F.lit(MAX_REPEATS))).otherwise(0).cast("int")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    # The share of the source's demand that is met before this document, in (0, 1).
-    share = (F.col("from") + F.col("size") / 2) / F.when(F.col("whole") > 0, F.col("source_size")).otherwise(F.greatest("part", "size"))
-    share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    rows = checkpoint(rows)
+    # A row for each source: the words it gives in all, not what it was to give.
+    totals = rows.groupBy(F.col("source").alias("t_source")).agg(F.sum("taken").alias("total"))
+    rows = rows.join(totals, F.col("source").eqNullSafe(F.col("t_source")))
     # Integral of ramp0 + (ramp1 - ramp0) t over [0, t], by its value at 1: solve for t.
     a, b = (F.col("ramp1") - F.col("ramp0")) / 2, F.col("ramp0")
-    need = share * (a + b)
-    time = F.when(a == 0, need / b).otherwise((F.sqrt(F.greatest(b * b + 4 * a * need, F.lit(0.0))) - b) / (2 * a))
-    rows = rows.withColumn("position", F.when(F.col("copies") > 0, time))
-    return rows.select(F.col("id").alias(id_col), "source", "h", "size", "source_size", "target", "copies", "taken", "position")
+
+    def time(k: Column) -> Column:
+        share = ((k - 1) * F.col("source_size") + F.col("from") + F.col("size") / 2) / F.col("total")
+        need = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (a + b)
+        return F.when(a == 0, need / b).otherwise((F.sqrt(F.greatest(b * b + 4 * a * need, F.lit(0.0))) - b) / (2 * a))
+
+    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), time)).otherwise(F.array().cast("array<double>"))
+    rows = rows.withColumn("positions", positions).withColumn("position", F.get("positions", F.lit(0)))
+    return rows.select(F.col("id").alias(id_col), "source", "h", "size", "source_size", "target", "copies", "taken", "position", "positions")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it is taken, in order of position.
+    """The mix itself: the columns of ``docs``, each row as often as it is taken, each copy at its own position.
 
     Rows that share an id are told apart by all their columns; those that agree in all are taken alike.
     """
     cols = docs.columns
-    h, size, copy, p_id, p_size, p_source, p_copies, p_position = (fresh(f"mix_{x}", cols) for x in ("hash", "size", "copy", "of_id", "of_size", "of_source", "copies", "position"))
-    plan = plan_mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy(F.col(id_col).alias(p_id), F.col("size").alias(p_size), F.col("source").alias(p_source)).agg(F.max("copies").alias(p_copies), F.min("position").alias(p_position))
+    h, size, at, p_id, p_size, p_source, p_best = (fresh(f"mix_{x}", cols) for x in ("hash", "size", "at", "of_id", "of_size", "of_source", "best"))
+    plan = plan_mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy(F.col(id_col).alias(p_id), F.col("size").alias(p_size), F.col("source").alias(p_source)).agg(F.min(F.struct(-F.col("copies"), "positions")).alias(p_best))
     keyed = docs.withColumn(h, F.xxhash64(id_col, F.lit("mix"))).withColumn(size, word_count(docs[text_col]))
     out = keyed.join(plan, F.col(id_col).eqNullSafe(F.col(p_id)) & (F.col(size) == F.col(p_size)) & F.col(source_col).eqNullSafe(F.col(p_source)))
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(p_copies)))).orderBy(p_position, h, copy).select(*cols)
+    return out.withColumn(at, F.explode(F.col(p_best)["positions"])).orderBy(at, h).select(*cols)

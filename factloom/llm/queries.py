@@ -52,7 +52,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(read_table(spark, sf_dir, "documents"))
-    return plan.orderBy(F.col("position").asc_nulls_last(), "h").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
+    return plan.orderBy(F.col("position").asc_nulls_last(), "h").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "positions")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,29 @@ def test_mixing_targets_and_takes(spark, odd, empty):
     assert mixing.plan_mix(odd).count() == odd.count() and mixing.plan_mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_meets_the_schedule(spark):
+    """Words of each source by time, against the integral of its weight; copies stand apart."""
+    rnd = random.Random(13)
+    rows = [(i, " ".join(["w"] * rnd.randint(1, 40)), "en", rnd.choice(["s0", "s1", "s2"])) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [r for r in mixing.plan_mix(df).collect() if r.copies]
+    assert {r.copies for r in got} == {1, 2} and all(len(r.positions) == r.copies and r.position == r.positions[0] for r in got)
+    between = 0
+    for k, s in enumerate(("s0", "s1", "s2")):
+        mine = [r for r in got if r.source == s]
+        total = sum(r.taken for r in mine)
+        between += 1 < total / mine[0].source_size < 2
+        ramp0, ramp1 = mixing.RAMPS[k]
+        for t in (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9):
+            due = (ramp0 * t + (ramp1 - ramp0) * t * t / 2) / ((ramp0 + ramp1) / 2)
+            assert abs(sum(r.size for r in mine for p in r.positions if p <= t) / total - due) <= 80 / total
+        assert all(b - a > 0.2 for r in mine if r.copies == 2 for a, b in [r.positions])
+    assert between
+    # The mix has its copies where the plan says.
+    times = sorted((p, r.doc_id) for r in got for p in r.positions)
+    assert [r.doc_id for r in mixing.mix_documents(df).collect()] == [i for _, i in times]
+
+
 def test_word_count(spark, odd):
     got = odd.select("text", mixing.word_count(F.col("text"))).collect()
     assert all(n == len(WORD.findall(t or "")) for t, n in got)
