@@ -14,10 +14,13 @@ A slot is one long: the quantised ``ln(a)`` above, bits of word and ``t`` below,
 so that the least sample is a plain ``min`` and keeps whole-stage code.
 
 Defined results: null text counts as empty; texts without words have the empty
-fingerprint, alike to itself only; a null id counts as the greatest; rows that
-repeat an id stand for one document, that of the shortest text (of equally
-short ones, the least SHA-256), and give one row; a lone document is its own
-next; an empty table gives an empty result; other columns are ignored.
+fingerprint, alike to itself only; a lone document is its own next; an empty
+table gives an empty result; other columns are ignored. ``fingerprint_rows``
+gives a row for each row: documents are ordered by id, null last, then by the
+text's SHA-256, and rows equal in id and text are one document with a row each.
+``fingerprint_documents`` gives a row for each id: rows that repeat an id, or
+have none, stand for one document, that of the shortest text (of equally short
+ones, the least SHA-256).
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 SLOTS = 16
-_LAST = 9223372036854775807
 
 
 def _slot(term: Column, log_weight: Column, i: int) -> Column:
@@ -57,35 +59,66 @@ def _alike(a: list[Column], b: list[Column]) -> Column:
     return total / F.lit(float(len(a)))
 
 
+def _in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` in range partitions ``pid`` by ``order``, made durable; no task holds more than its range."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(rows.repartitionByRange(partitions, *order).withColumn("pid", F.spark_partition_id()))
+
+
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """key, n and the next key in ascending order, for each distinct key of docs(key, text).
+    """id, key, n, how often it stands there and the next key in ascending order, for each distinct key of docs(id, key, text).
 
     Only keys and lengths move. They are range-partitioned, each partition
     finds its own neighbours, and the partitions' first keys, a row each, link
     one partition to the next.
     """
-    one = docs.groupBy("key").agg(F.min(F.struct(F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha"))).alias("x")).select("key", "x.n")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpoint(one.repartitionByRange(partitions, "key").withColumn("pid", F.spark_partition_id()))
+    one = docs.groupBy("key").agg(F.first("id").alias("id"), F.first(F.length("text").cast("long")).alias("n"), F.count("*").alias("times"))
+    ranged = _in_order(one, [F.col("key")])
     within = ranged.withColumn("next", F.lead("key").over(Window.partitionBy("pid").orderBy("key")))
     firsts = ranged.groupBy("pid").agg(F.min("key").alias("first"))
     after = F.lead("first").over(Window.orderBy("pid"))
     links = firsts.select(F.col("pid").alias("l_pid"), F.coalesce(after, F.min("first").over(Window.partitionBy())).alias("l_next"))
-    return within.join(links, F.col("pid") == F.col("l_pid")).select("key", "n", F.coalesce("next", "l_next").alias("next"))
+    return within.join(links, F.col("pid") == F.col("l_pid")).select("id", "key", "n", "times", F.coalesce("next", "l_next").alias("next"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs(id, text) with a bigint ``key`` of the document: the id itself, or a rank by id and text where ids repeat or are null."""
+    if docs.groupBy("id").agg(F.count("*").alias("n")).where("id is null or n > 1").isEmpty():
+        return docs.withColumn("key", F.col("id"))
+    digested = docs.withColumn("sha", F.sha2("text", 256))
+    order = [F.col("id").asc_nulls_last(), F.col("sha")]
+    ranged = _in_order(digested.select("id", "sha").distinct(), order)
+    before = F.coalesce(F.sum("here").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("pid").agg(F.count("*").alias("here")).select(F.col("pid").alias("s_pid"), before.alias("start"))
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy(*order))
+    ranks = ranged.withColumn("rank", rank).join(starts, F.col("pid") == F.col("s_pid")).select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"), (F.col("start") + F.col("rank")).alias("key"))
+    # The digest leads the join, so that rows without an id spread over all tasks.
+    return digested.join(ranks, (F.col("sha") == F.col("r_sha")) & F.col("id").eqNullSafe(F.col("r_id"))).select("id", "text", "key")
+
+
+def _selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Fingerprints of each text, of its edited text and their likeness.
+    """As ``fingerprint_rows``, with one row for each id."""
+    row = F.row_number().over(Window.partitionBy("id").orderBy(F.length("text"), F.sha2("text", 256)))
+    one = _selected(docs, id_col, text_col).withColumn("row", row).where("row = 1")
+    return fingerprint_rows(one.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("text").alias(text_col)), id_col, text_col, slots)
+
+
+def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """Fingerprints of each text, of its edited text and their likeness, a row for each row of ``docs``.
 
     The edited text has its last quarter replaced by as many characters from the
     beginning of the next document (all, if it has fewer).
     """
     kind = docs.schema[id_col].dataType
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = _keyed(_selected(docs, id_col, text_col))
     near = _neighbours(base)
     # Texts cross the network once, by key; each stage below reads that exchange.
-    row = F.row_number().over(Window.partitionBy("key").orderBy(F.length("text"), F.sha2("text", 256)))
-    texts = base.withColumn("row", row).where("row = 1").drop("row")
+    row = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    texts = base.select("key", "text").withColumn("row", row).where("row = 1").drop("row")
     asked = near.select(F.col("next").alias("a_key"), F.col("key").alias("for"), F.floor(F.col("n") / 4).cast("int").alias("q"))
     heads = texts.join(asked, F.col("key") == F.col("a_key")).select("for", "q", F.substring(F.col("text"), F.lit(1), F.col("q")).alias("head"))
     both = texts.join(heads, F.col("key") == F.col("for")).drop("for")
@@ -118,7 +151,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = checkpoint(prints)
 
     f, g, h = ([F.col(f"{x}{i}") for i in range(slots)] for x in "fgh")
-    following = prints.join(near.select(F.col("next").alias("n_key"), F.col("key").alias("for")), F.col("m_key") == F.col("n_key")).select("for", *[F.col(f"f{i}").alias(f"h{i}") for i in range(slots)])
-    return prints.join(following, F.col("m_key") == F.col("for")).select(
-        F.when(F.col("m_key") != _LAST, F.col("m_key")).cast(kind).alias(id_col), "n_chars", "edited_sha256", _hex(f).alias("fingerprint"), _hex(g).alias("edited_fingerprint"), _alike(f, g).alias("near_edited"), _alike(f, h).alias("near_next")
+    following = prints.join(near.select(F.col("next").alias("n_key"), F.col("key").alias("for"), "id", "times"), F.col("m_key") == F.col("n_key")).select("for", "id", "times", *[F.col(f"f{i}").alias(f"h{i}") for i in range(slots)])
+    # Rows equal in id and text were one document so far.
+    return prints.join(following, F.col("m_key") == F.col("for")).withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select(
+        F.col("id").cast(kind).alias(id_col), "n_chars", "edited_sha256", _hex(f).alias("fingerprint"), _hex(g).alias("edited_fingerprint"), _alike(f, g).alias("near_edited"), _alike(f, h).alias("near_next")
     )

@@ -446,3 +446,23 @@ def test_fingerprints(spark, odd, empty):
     ids = [r.doc_id for r in fingerprints.fingerprint_documents(odd).collect()]
     assert sorted(ids, key=str) == sorted({r[0] for r in odd_rows()}, key=str)
     assert fingerprints.fingerprint_documents(empty).count() == 0
+
+
+def test_fingerprints_of_every_row(spark, odd, empty):
+    """Rows that repeat an id, or have none, keep a row each, in the order of id and digest."""
+    rnd = random.Random(14)
+    some = lambda: " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 30)))
+    rows = [(rnd.choice([None, None, 1, 2, 3, 4]), some()) for _ in range(60)] + [(7, "same text"), (7, "same text"), (None, "same text"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    out = fingerprints.fingerprint_rows(df)
+    assert out.schema["doc_id"].dataType.simpleString() == "int"
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted({(i is None, i or 0, sha(t or ""), t or "") for i, t in rows})
+    follows = {k[:3]: order[(n + 1) % len(order)][3] for n, k in enumerate(order)}
+    want = collections.Counter()
+    for i, t in rows:
+        t = t or ""
+        q = len(t) // 4
+        want[(i, len(t), sha(t[: len(t) - q] + follows[(i is None, i or 0, sha(t))][:q]))] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out.collect()) == want
+    assert fingerprints.fingerprint_rows(odd).count() == odd.count() and fingerprints.fingerprint_rows(empty).count() == 0
