@@ -3,10 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; all but the last return the columns of ``documents``.
 
-Defined results beyond those of the operators: a null id cannot name a group,
-so rows with a null id stay unless they are linked to a row with an id; of rows
-that repeat an id the one with the least text stays; a text that is wholly
-repeated stays as an empty text; what the mix takes twice appears twice.
+Defined results beyond those of the operators: of each group of near copies one
+row stays, the first by id (null last), then by the text's SHA-256, whatever ids
+its rows share with rows of other groups; texts without words are copies of
+nothing and all stay; a text that is wholly repeated stays as an empty text;
+what the mix takes twice appears twice.
 """
 
 from __future__ import annotations
@@ -29,12 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    found = jaccard_join.jaccard_components(docs)
-    stay = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    row = fresh("row_of_id", docs.columns)
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi").withColumn(row, one).where((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)
+    """One row of each group of near copies stays, that with the smallest id."""
+    key, row, bare, stays = (fresh(x, docs.columns) for x in ("row_key", "row_of_key", "without_words", "stay_key"))
+    # Rows are told apart by id and text; those equal in both are copies of each other.
+    parts = (F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    keyed = docs.withColumn(key, F.struct(*parts))
+    found = jaccard_join.jaccard_components(keyed, id_col=key)
+    stay = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(stays)).agg((F.max("n_shingles") == 0).alias(bare))
+    one = F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in docs.columns if c != "text"]))
+    kept = keyed.join(stay, F.col(key) == F.col(stays)).withColumn(row, one)
+    return kept.where((F.col(row) == 1) | F.col(bare)).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

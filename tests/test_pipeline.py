@@ -1,0 +1,45 @@
+"""Stages of the corpus pipeline, against brute force."""
+
+import collections
+import hashlib
+import random
+
+import corpus_pipeline
+
+from .llm.fixtures import SCHEMA, clashing, near_copies, odd_rows
+from .llm.test_text_operators import _components
+
+
+def _one_of_each(rows):
+    """Rows (id, text) that stay: the first of each group by id, null last, then digest; all without words."""
+    texts = [(k, t) for k, (_, t) in enumerate(rows)]
+    groups, out = collections.defaultdict(list), collections.Counter()
+    for k, n, component in _components(texts):
+        i, t = rows[k]
+        if n:
+            groups[component].append((i is None, i or 0, hashlib.sha256(t.encode()).hexdigest(), k))
+        else:
+            out[(i, t)] += 1
+    return out + collections.Counter(rows[min(g)[3]] for g in groups.values())
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rnd = random.Random(21)
+    rows = [(rnd.choice([None, i, rnd.randrange(40)]), t) for i, t in near_copies(4)[:220]]
+    clean = [(i, " ".join(f"c{k}x{n}" for n in range(12))) for k, i in enumerate([900, 900, None, None, 5, 5])]
+    # One text of id 901 is by itself, the other is a near copy of id 7's.
+    base = [f"z{n}" for n in range(60)]
+    rows += clean + [(901, "a text that is a copy of nothing at all"), (901, " ".join(base)), (7, " ".join(base[:-1] + ["y"])), (None, " ".join(base)), (None, None), (900, "")]
+    rows += rnd.sample(rows, 20)
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA).repartition(4)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
+    assert got == _one_of_each(rows)
+    assert all((i, t) in got for i, t in clean) and got[(901, " ".join(base))] == 0 and got[(901, "a text that is a copy of nothing at all")] == 1
+
+
+def test_near_copies_of_odd_and_empty_input(spark):
+    df = clashing(spark.createDataFrame(odd_rows(), SCHEMA))
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == _one_of_each([r[:2] for r in odd_rows()])
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
