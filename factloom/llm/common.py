@@ -36,10 +36,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back from there.
 
     A cluster names the folder in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary one is made.
+    unset on a local master (tests, a laptop) a temporary one is made. Without
+    it a cluster has no folder that all its machines see, so that is an error.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint(eager=True)
 
