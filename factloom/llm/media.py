@@ -7,7 +7,8 @@ every source sample counts) and a difference hash; thumbnails are NPY tiles.
 Defined results: null or empty text is stored as one row of spaces; a text of
 any length is stored whole (one image row for each 192 bytes); equal texts
 give equal values; repeated rows are each processed; an empty table gives an
-empty result; other columns are ignored, whatever they are called.
+empty result; other columns are ignored, whatever they are called. Without a
+format, an odd CRC-32 of the payload chooses BMP and an even one PPM.
 """
 
 from __future__ import annotations
@@ -94,9 +95,15 @@ def npy_tile(small: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def store(payload: bytes, fmt: str = "ppm") -> bytes:
+def tile_of(npy: bytes) -> np.ndarray:
+    """The samples of an NPY tile."""
+    return np.load(io.BytesIO(npy), allow_pickle=False)
+
+
+def store(payload: bytes, fmt: str | None = None) -> bytes:
     """The payload, a positive multiple of 192 bytes, as an image of 64 pixels a row."""
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES // 3, 3)
+    fmt = fmt or ("ppm", "bmp")[zlib.crc32(payload) & 1]
     return encode_bmp(pixels) if fmt == "bmp" else encode_netpbm(pixels)
 
 
@@ -104,10 +111,12 @@ def pad(text: bytes) -> bytes:
     return text + b" " * (-len(text) % ROW_BYTES or (0 if text else ROW_BYTES))
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fmt: str = "ppm", blobs: bool = False) -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fmt: str | None = None, blobs: bool = False) -> DataFrame:
     """Store each whole text as an image, read it back and describe what was read.
 
-    With ``blobs`` the stored image and its NPY tile are returned as well.
+    The image read back is resized and written as an NPY tile; ``feature`` is the
+    difference hash of the tile's samples, ``tile_sha256`` the digest of its bytes.
+    With ``blobs`` the stored image and its tile are returned as well.
     """
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
@@ -117,10 +126,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             media = store(pad(raw), fmt)
             pixels = decode(media)
             back = np.ascontiguousarray(pixels).tobytes()
-            small = area_resize(gray(pixels), *TILE)
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(small), *((media, npy_tile(small)) if blobs else ())))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *((pa.binary(), pa.binary()) if blobs else ()))
+            tile = npy_tile(area_resize(gray(pixels), *TILE))
+            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(tile_of(tile)), hashlib.sha256(tile).hexdigest(), *((media, tile) if blobs else ())))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *((pa.binary(), pa.binary()) if blobs else ()))
         return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
 
-    fields = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", media binary, tile binary" * blobs
+    fields = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile_sha256 string" + ", media binary, tile binary" * blobs
     return map_texts(docs, text_col, kernel, fields, [id_col])
