@@ -15,7 +15,8 @@ so that the least sample is a plain ``min`` and keeps whole-stage code.
 
 Defined results: null text counts as empty; texts without words have the empty
 fingerprint, alike to itself only; a lone document is its own next; an empty
-table gives an empty result; other columns are ignored. ``fingerprint_rows``
+table gives an empty result; other columns are ignored; ids may be of any type
+that sorts. ``fingerprint_rows``
 gives a row for each row: documents are ordered by id, null last, then by the
 text's SHA-256, and rows equal in id and text are one document with a row each.
 ``fingerprint_documents`` gives a row for each id: rows that repeat an id, or
@@ -97,14 +98,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """As ``fingerprint_rows``, with one row for each id."""
     row = F.row_number().over(Window.partitionBy("id").orderBy(F.length("text"), F.sha2("text", 256)))
     one = _selected(docs, id_col, text_col).withColumn("row", row).where("row = 1")
-    return fingerprint_rows(one.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("text").alias(text_col)), id_col, text_col, slots)
+    return fingerprint_rows(one.select(F.col("id").alias(id_col), F.col("text").alias(text_col)), id_col, text_col, slots)
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -113,7 +114,6 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The edited text has its last quarter replaced by as many characters from the
     beginning of the next document (all, if it has fewer).
     """
-    kind = docs.schema[id_col].dataType
     base = _keyed(_selected(docs, id_col, text_col))
     near = _neighbours(base)
     # Texts cross the network once, by key; each stage below reads that exchange.
@@ -154,5 +154,5 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     following = prints.join(near.select(F.col("next").alias("n_key"), F.col("key").alias("for"), "id", "times"), F.col("m_key") == F.col("n_key")).select("for", "id", "times", *[F.col(f"f{i}").alias(f"h{i}") for i in range(slots)])
     # Rows equal in id and text were one document so far.
     return prints.join(following, F.col("m_key") == F.col("for")).withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select(
-        F.col("id").cast(kind).alias(id_col), "n_chars", "edited_sha256", _hex(f).alias("fingerprint"), _hex(g).alias("edited_fingerprint"), _alike(f, g).alias("near_edited"), _alike(f, h).alias("near_next")
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", _hex(f).alias("fingerprint"), _hex(g).alias("edited_fingerprint"), _alike(f, g).alias("near_edited"), _alike(f, h).alias("near_next")
     )
