@@ -7,6 +7,7 @@ the hit and the longest confirmed rule decides.
 
 Defined results
 * null URL, or one without ``://``: host and path are empty, no rule fits;
+* empty host (``file:///a``): path as written, no rule fits;
 * empty URL table or rule table: empty result, or no rule for any URL;
 * repeated rows: each row is judged by itself;
 * a rule that is listed twice counts once; if both verdicts are listed for the
@@ -68,13 +69,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ).withColumn("r_prefix", F.substring("r_digest", 1, PREFIX_DIGITS))
 
     urls = pages.select(F.col(id_col).alias("u_id"), host_of(F.col(url_col)).alias("u_host"), path_of(F.col(url_col)).alias("u_path"))
+    # No rule fits an empty host; such URLs, maybe a third of all, meet in no task.
+    hosted, bare = urls.where("u_host != ''"), urls.where("u_host = ''")
     # URLs with equal host and path share their verdict, so each is expanded once.
-    distinct = urls.select("u_host", "u_path").distinct()
+    distinct = hosted.select("u_host", "u_path").distinct()
     paths = F.explode(path_prefixes(F.col("u_path"), lengths)).alias("p")
     expressions = distinct.select("u_host", "u_path", paths).select("u_host", "u_path", "p", F.explode(host_suffixes(F.col("u_host"))).alias("h"))
     hashed = expressions.withColumn("digest", digest(F.col("h"), F.col("p"))).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     hits = hashed.join(listed, F.col("prefix") == F.col("r_prefix")).where("digest = r_digest")
     best = hits.groupBy(F.col("u_host").alias("b_host"), F.col("u_path").alias("b_path")).agg(F.max("hit").alias("hit"))
-    return urls.join(best, (F.col("u_host") == F.col("b_host")) & (F.col("u_path") == F.col("b_path")), "left").select(
+    judged = hosted.join(best, (F.col("u_host") == F.col("b_host")) & (F.col("u_path") == F.col("b_path")), "left").select("u_id", "u_host", "u_path", "hit")
+    return judged.unionByName(bare, allowMissingColumns=True).select(
         F.col("u_id").alias(id_col), F.col("u_host").alias("host"), F.col("u_path").alias("path"), F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(DEFAULT_VERDICT)).alias("verdict")
     )
