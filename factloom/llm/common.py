@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside an Arrow batch. It bounds the working
 #: memory of the numpy kernels; results never depend on it.
@@ -47,6 +48,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key that more than this share of all rows has is hot; there are at most as many hot keys.
+HOT_SHARE = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, right_key: str, weight: str, total: int, also: Column | None = None, how: str = "left") -> DataFrame:
+    """Join ``left`` with ``right`` on a key that a third of all rows of ``left`` may share.
+
+    ``weight`` in ``right`` says how many rows of ``left`` have its key, of
+    ``total``. Rows with one of the at most ``HOT_SHARE`` hot keys are joined by
+    broadcast, where they stand; the others by Spark's choice; null keys join
+    nothing and do not move. ``right`` must have few rows for a key. ``also`` is
+    a further condition.
+    """
+    on = F.col(key) == F.col(right_key)
+    on = on if also is None else on & also
+    hot, cold = right.where(F.col(weight) * HOT_SHARE > total), right.where(F.col(weight) * HOT_SHARE <= total)
+    names = hot.select(F.col(right_key).alias("hot_key")).distinct()
+    marked = left.join(F.broadcast(names), F.col(key) == F.col("hot_key"), "left")
+    here = marked.where(F.col("hot_key").isNotNull() | F.col(key).isNull()).drop("hot_key").join(F.broadcast(hot), on, how)
+    return here.unionByName(marked.where(F.col("hot_key").isNull() & F.col(key).isNotNull()).drop("hot_key").join(cold, on, how))
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores put in front until no column has it."""
     low = {x.lower() for x in taken}
@@ -133,10 +156,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2**64; see ``range_hash``."""
+#: Byte values of a second, independent hash.
+_BYTE2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
+    """Polynomial prefix sums modulo 2**64; see ``range_hash``. ``second`` uses other byte values."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum((_BYTE2 if second else _BYTE)[data] * _powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 

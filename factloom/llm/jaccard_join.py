@@ -14,8 +14,10 @@ and that order is cut into fragments.
    shingles in large groups on both sides; such classes are *dense*. In each
    group and size band the dense classes meet one *hub*, the one whose shingles
    are the most frequent, so a group of m classes gives m pairs.
-3. The pairs' whole overlaps are counted on the sets of the classes involved,
-   which are written once, and the links joined to components.
+3. The sets of the classes involved are written once, cut into ``FRAGMENTS``
+   of the order by hash. For each pair every fragment counts its part of the
+   whole overlap by itself; the parts are summed for each pair, which decides
+   the links, and these are joined to components.
 4. A dense class z that is not linked to a hub h and not in its component is
    *open*: if it is linked to a class y of the same group, then
    ``|z & y| <= |z & h| + |(z - h) & y|``, so y holds enough of the shingles of
@@ -44,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, byte_view, checkpoint, mix, prefix_hash, range_hash, spans, string_array, words
-from .packing import CELL_SCHEMA, PARTS_PER_PARTITION, by_part, cells, deal, gather, pack, unpack
+from .common import LOWER, SPACE, byte_view, checkpoint, join_hot, mix, prefix_hash, range_hash, spans, string_array, words
+from .packing import CELL_SCHEMA, by_part, cells, deal, gather, pack, parts_of, unpack
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -53,6 +55,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Classes that share a first shingle up to which all their pairs are counted.
 ALL_PAIRS = 4
+#: Fragments of the order in which whole overlaps are counted, as a power of two.
+FRAGMENTS = 4
 #: Dense classes that share a shingle outside a hub up to which it is expanded.
 EXPANDED = 64
 #: Counters of the frequency sketch, and bits of the filters that thin out later scans. Both are fixed in size;
@@ -267,8 +271,14 @@ def _unpacked(found: DataFrame, kind: int, dtypes: list, schema: str) -> DataFra
     return found.where(F.col("kind") == kind).select("cell").mapInArrow(run, schema)
 
 
+def _cuts(s: np.ndarray) -> np.ndarray:
+    """Where the fragments of a sorted set begin, and its end."""
+    edges = np.arange(1, FRAGMENTS, dtype=np.uint64) << _U(64 - (FRAGMENTS - 1).bit_length())
+    return np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """(sig, set): the whole sets of the wanted classes, one row each."""
+    """(sig, part, set): the sets of the wanted classes, a row for each fragment that holds any of it."""
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(member_filter(wanted, columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,29 +288,42 @@ def _sets(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
             pick = pick[passes[_bit(digest[pick].view(np.uint64))]]
             yield pa.RecordBatch.from_arrays([pa.array(digest[pick]), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in pick], pa.binary())], names=["sig", "set"])
 
-    return texts.mapInArrow(run, "sig bigint, set binary").dropDuplicates(["sig"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for sig, v in zip(b.column(0).to_pylist(), b.column(1)):
+                s = np.frombuffer(v.as_buffer(), np.uint64)
+                at = _cuts(s)
+                rows += [(sig, k, s[x:y].tobytes()) for k, (x, y) in enumerate(zip(at[:-1], at[1:])) if y > x]
+            sig, part, cell = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(part, pa.int32()), pa.array(cell, pa.binary())], names=["sig", "part", "set"])
+
+    return texts.mapInArrow(run, "sig bigint, set binary").dropDuplicates(["sig"]).mapInArrow(cut, "sig bigint, part int, set binary")
 
 
-def _side_by_side(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, sa, sb): the two sets of each pair."""
-    left = sets.select(F.col("sig").alias("ka"), F.col("set").alias("sa"))
-    right = sets.select(F.col("sig").alias("kb"), F.col("set").alias("sb"))
-    return pairs.select("a", "b").join(left, F.col("a") == F.col("ka")).select("a", "b", "sa").join(right, F.col("b") == F.col("kb")).select("a", "b", "sa", "sb")
+def _side_by_side(sets: DataFrame, pairs: DataFrame, how: str = "inner") -> DataFrame:
+    """The columns of pairs(a, b, ...) with sa and sb, their sets' parts in one fragment, a row for each of a's fragments."""
+    left = sets.select(F.col("sig").alias("ka"), F.col("part").alias("pa"), F.col("set").alias("sa"))
+    right = sets.select(F.col("sig").alias("kb"), F.col("part").alias("pb"), F.col("set").alias("sb"))
+    on = (F.col("b") == F.col("kb")) & (F.col("pa") == F.col("pb"))
+    return pairs.join(left, F.col("a") == F.col("ka")).join(right, on, how).select(*pairs.columns, "sa", "sb")
 
 
 def count_overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Add inter and link to pairs(a, b, na, nb)."""
+    """Add inter and link to the distinct pairs(a, b, na, nb, ...) that share a fragment; other pairs go, they share nothing."""
+    cols = pairs.columns
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.zeros(b.num_rows, np.int64)
-            for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
+            for k, (x, y) in enumerate(zip(b.column(len(cols)), b.column(len(cols) + 1))):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 out[k] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["a", "b", "inter"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(cols))), pa.array(out)], names=[*cols, "part_inter"])
 
-    inter = _side_by_side(sets, pairs).mapInArrow(overlap, "a bigint, b bigint, inter bigint").withColumnRenamed("a", "oa").withColumnRenamed("b", "ob")
-    counted = pairs.join(inter, (F.col("a") == F.col("oa")) & (F.col("b") == F.col("ob"))).drop("oa", "ob")
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema] + ["part_inter bigint"])
+    parts = _side_by_side(sets, pairs).mapInArrow(overlap, schema)
+    counted = parts.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in cols if c not in ("a", "b")], F.sum("part_inter").alias("inter"))
     return counted.withColumn("link", F.col("inter") * DEN >= (F.col("na") + F.col("nb") - F.col("inter")) * NUM)
 
 
@@ -309,12 +332,12 @@ def _outside(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True) for x, y in zip(b.column(2), b.column(3))]
+            got = [np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer() if y.is_valid else b"", np.uint64), assume_unique=True) for x, y in zip(b.column(2), b.column(3))]
             n = [len(g) for g in got]
             ids = [pa.array(np.repeat(np.asarray(b.column(c)), n)) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64))], names=["a", "b", "tok"])
 
-    return _side_by_side(sets, pairs).mapInArrow(run, "a bigint, b bigint, tok bigint")
+    return _side_by_side(sets, pairs.select("a", "b"), "left").mapInArrow(run, "a bigint, b bigint, tok bigint")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -339,7 +362,6 @@ def connected_components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     texts = docs.select(F.col(text_col).alias("t"))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketch = frequency_sketch(texts)
     shared = _context(texts, sketch)
 
@@ -353,12 +375,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = checkpoint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(digests, f"id {kind}, n bigint, sig bigint, usual int"))
-    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("usual").alias("usual"))
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("id").alias("least"), F.count("*").alias("rows"))
     size = lambda c, out: (classes.select(F.col("sig").alias(f"s_{c}"), F.col("n").alias(out)), F.col(c) == F.col(f"s_{c}"))
     least = lambda n: 1 + F.floor(n / 4)
     fit = "na * 4 >= nb * 3 and nb * 4 >= na * 3"
 
-    parts = PARTS_PER_PARTITION * partitions
+    parts = parts_of(texts, "t")
     found = checkpoint(by_part(_first_shingles(texts, shared, parts), parts, _candidates, CELL_SCHEMA))
     large = _unpacked(found, 1, _LARGE, "sig bigint, tok bigint")
     in_large = large.groupBy("sig").agg(F.count("*").alias("large"))
@@ -371,10 +393,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dense = checkpoint(in_large.join(classes.withColumnRenamed("sig", "c"), F.col("sig") == F.col("c")).where(F.col("large") >= least(F.ceil(F.col("n") * 3 / 4))).select("sig", "n", "usual"))
     members = checkpoint(large.join(dense.withColumnRenamed("sig", "d"), F.col("sig") == F.col("d")).select("tok", "sig", "n", "usual", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3 + 1e-9))).cast("int").alias("band")))
     hubs = members.groupBy("tok", "band").agg(F.max(F.struct("usual", F.xxhash64("sig"), F.struct("sig", "n").alias("hub"))).alias("x")).select(F.col("tok").alias("h_tok"), F.col("band").alias("h_band"), F.col("x.hub.sig").alias("hub"), F.col("x.hub.n").alias("nh"))
-    lows = members.groupBy(F.col("tok").alias("w_tok")).agg(F.min("n").alias("low"))
+    lows = members.groupBy(F.col("tok").alias("w_tok")).agg(F.min("n").alias("low"), F.count("*").alias("holders"))
     # Linked classes lie in one band or in neighbouring ones, so both meet the hub of either's band.
-    near = hubs.join(lows, F.col("h_tok") == F.col("w_tok")).select("h_tok", "hub", "nh", "low", F.explode(F.array(*[F.col("h_band") + d for d in (-1, 0, 1)])).alias("for_band"))
-    stars = members.join(near, (F.col("tok") == F.col("h_tok")) & (F.col("band") == F.col("for_band"))).where("sig != hub").groupBy(F.col("sig").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("na"), F.max("nh").alias("nb"), F.min("low").alias("low"))
+    near = hubs.join(lows, F.col("h_tok") == F.col("w_tok")).select("h_tok", "hub", "nh", "low", "holders", F.explode(F.array(*[F.col("h_band") + d for d in (-1, 0, 1)])).alias("for_band"))
+    stars = join_hot(members, near, "tok", "h_tok", "holders", members.count(), also=F.col("band") == F.col("for_band"), how="inner").where("sig != hub").groupBy(F.col("sig").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("na"), F.max("nh").alias("nb"), F.min("low").alias("low"))
     pairs = small.unionByName(stars.select("a", "b", "na", "nb", F.lit(True).alias("star"), "low"))
     pairs = checkpoint(pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star"), F.min("low").alias("low")))
     sets = checkpoint(_sets(texts, pairs, ["a", "b"]))
@@ -390,9 +412,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = checkpoint(apart(_left_over(sets, open_, dense, judged), "a", "b").join(judged.select(F.col("a").alias("ja"), F.col("b").alias("jb")), (F.col("a") == F.col("ja")) & (F.col("b") == F.col("jb")), "left_anti"))
         again = count_overlaps(sets, more).where("link").select("a", "b")
         roots = connected_components(links.unionAll(again))
-    member = rows.join(roots, F.col("sig") == F.col("node"), "left").select("id", "n", F.coalesce("root", "sig").alias("root"))
-    least_id = member.where("root is not null").groupBy(F.col("root").alias("g")).agg(F.min("id").alias("least"))
-    return member.join(least_id, F.col("root") == F.col("g"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    # Classes to components, then rows to classes: a class of copies or a component may hold a third of all rows.
+    rooted = checkpoint(classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "least", "rows"))
+    whole = rooted.groupBy(F.col("root").alias("g")).agg(F.min("least").alias("component"), F.count("*").alias("classes"))
+    named = checkpoint(join_hot(rooted, whole, "root", "g", "classes", rooted.count()).select(F.col("sig").alias("of_sig"), "component", "rows"))
+    out = join_hot(rows, named, "sig", "of_sig", "rows", rows.count())
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def _left_over(sets: DataFrame, open_: DataFrame, dense: DataFrame, judged: DataFrame) -> DataFrame:

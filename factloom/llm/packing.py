@@ -12,13 +12,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Parts for each shuffle partition: a part is what one reducing step holds in memory.
+#: Parts for each shuffle partition at least: a part is what one reducing step holds in memory.
 PARTS_PER_PARTITION = 6
+#: Bytes of text for each part at most, so that a part does not grow with the data.
+PART_BYTES = 32 << 20
 
 
-def parts_of(df: DataFrame) -> int:
-    return PARTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def parts_of(df: DataFrame, text: str) -> int:
+    """Number of parts that the texts of ``df`` are dealt to."""
+    size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(PARTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
 
 
 def pack(*columns: np.ndarray) -> bytes:

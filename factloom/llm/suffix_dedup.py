@@ -11,19 +11,19 @@ Digits are chosen so that few records move:
 1. The first digit of a window is the least hash among its 32-byte grams. Equal
    windows have equal digits, and neighbouring windows mostly share theirs, so
    a *run* of about 36 windows travels as one record.
-2. The second digit is the hash of a run's bytes: windows of equal runs are
-   repeated as a whole, and only the first run of a group stays in play.
+2. The second digit is the 128-bit digest of a run's bytes: windows of equal
+   runs are repeated as a whole, and only the first run of a group stays in play.
 3. What is then left beside other runs of its first digit (about one run in
-   25) is ordered by the digit of each window through its whole depth.
-
-Digits are 64-bit hashes, and groups must agree in the first digit and in the
-last, so windows that differ are taken for equal with a probability of about
-2**-128 a pair.
+   25) is ordered by the text's own bytes, 8 a digit and most significant first,
+   through the whole depth; each pass orders only the windows still tied.
 
 Before each shuffle a task keeps only the first of its own equal runs or
 windows, so a string that a third of all documents contain arrives at most once
-from each chunk of input. First digits with more than ``HOT`` different runs
-are dealt out by window.
+from each chunk of input. A first digit that more than a thousandth of the runs
+of a sample of documents have is dealt out by run from the beginning, and its
+windows, like those of digits with more than ``HOT`` different runs, are dealt
+out by the 128-bit digest of their bytes, which then stands for the later
+digits. The sample steers where records go; the result does not depend on it.
 
 Defined results: null and empty texts, and texts under 100 bytes, lose nothing;
 repeated and null ids are told apart by text (ordered by id, null last, then
@@ -42,16 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, fresh, prefix_hash, spans, string_array
+from .common import byte_view, fresh, spans, string_array
 from .packing import CELL_SCHEMA, by_part, cells, deal, gather, pack, part_of, parts_of
-from .suffix_kernel import DEPTH, first_of, runs, window_digits
+from .suffix_kernel import DEPTH, first_of, radix_groups, runs, window_digits
 
 #: Runs of one first digit up to which they are compared in one place.
 HOT = 512
+#: One document in so many is sampled for frequent first digits, and the share of its runs that makes one frequent.
+SAMPLED = 100
+FREQUENT = 1000
 
-_RUN = [np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8]
+_RUN = [np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8]
 _SPAN = [np.int64, np.int32, np.int32]
-_WINDOW = [np.uint64, np.uint64, np.int64, np.int32]
+_WINDOW = [np.uint64, np.uint64, np.uint64, np.int64, np.int32]
 _SPAN_SCHEMA = "key bigint, lo int, n int, digit bigint, hot int"
 
 
@@ -75,28 +78,53 @@ def _span_batch(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, digit: np.ndarra
     )
 
 
-def _first_pass(parts: int):
-    """Texts to runs, dealt by first digit. A chunk's repeated runs are marked at once."""
+def _again(perm: np.ndarray, head: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """All but the first of each group. Equal records at one place are one row read twice, and none of them is later."""
+    tie = np.zeros(len(perm), bool)
+    tie[1:] = ~head[1:] & (doc[perm][1:] == doc[perm][:-1]) & (lo[perm][1:] == lo[perm][:-1])
+    return perm[~head & ~tie]
+
+
+def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """Keys and runs of each chunk of (key, text) rows that has any."""
+    for b in batches:
+        keys, (data, offsets) = np.asarray(b.column(0)), byte_view(string_array(b.column(1)))
+        for i, j in spans(offsets):
+            got = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if len(got[0]):
+                yield keys[i:j], got
+
+
+def _frequent_digits(texts: DataFrame) -> np.ndarray:
+    """First digits, at most ``FREQUENT``, that so large a share of the sampled runs has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, texts = np.asarray(b.column(0)), string_array(b.column(1))
-            data, offsets = byte_view(texts)
-            for i, j in spans(offsets):
-                owner, lo, n, digit, whole, inner, _ = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if not len(lo):
-                    continue
-                doc = keys[i:j][owner]
-                perm, head = first_of((digit, whole), (doc, lo))
-                # Equal runs at one place are one row read twice, and none of them is later.
-                tie = np.zeros(len(perm), bool)
-                tie[1:] = ~head[1:] & (doc[perm][1:] == doc[perm][:-1]) & (lo[perm][1:] == lo[perm][:-1])
-                first = perm[head]
-                again = perm[~head & ~tie]
-                rows = [(p, 0, c) for p, c in deal(part_of(digit[first], parts), parts, digit[first], whole[first], doc[first], lo[first].astype(np.int32), n[first].astype(np.int32), inner[first].astype(np.uint8))]
-                spans_ = _joined(doc[again], lo[again].astype(np.int32), n[again].astype(np.int32))
-                rows += [(p, 1, c) for p, c in deal(spans_[0] % parts, parts, *spans_)]
-                yield cells(rows)
+        for _, (_, _, _, digit, *_) in _each_chunk(batches):
+            d, n = np.unique(digit, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(n)], names=["digit", "n"])
+
+    counts = texts.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0).mapInArrow(run, "digit bigint, n bigint")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.groupBy("digit").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total / FREQUENT)).select("digit").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _first_pass(parts: int, frequent: np.ndarray):
+    """Texts to runs, dealt by first digit, or by run where that digit is frequent. A chunk's repeated runs are marked at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, (owner, lo, n, digit, whole, whole2, inner) in _each_chunk(batches):
+            doc = keys[owner]
+            perm, head = first_of((digit, whole, whole2), (doc, lo))
+            first, again = perm[head], _again(perm, head, doc, lo)
+            spread = np.isin(digit[first], frequent)
+            rows = []
+            for kind, f in ((0, first[~spread]), (2, first[spread])):
+                by = digit[f] if kind == 0 else whole[f]
+                rows += [(p, kind, c) for p, c in deal(part_of(by, parts), parts, digit[f], whole[f], whole2[f], doc[f], lo[f].astype(np.int32), n[f].astype(np.int32), inner[f].astype(np.uint8))]
+            spans_ = _joined(doc[again], lo[again].astype(np.int32), n[again].astype(np.int32))
+            rows += [(p, 1, c) for p, c in deal(spans_[0] % parts, parts, *spans_)]
+            yield cells(rows)
 
     return run
 
@@ -104,20 +132,22 @@ def _first_pass(parts: int):
 def _second_pass(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
     """Runs of a part: repeats of a whole run are marked, runs left beside others of their digit stay in play."""
     yield _span_batch(*gather(held.get(1, []), _SPAN))
-    digit, whole, doc, lo, n, inner = gather(held.get(0, []), _RUN)
-    perm, head = first_of((digit, whole), (doc, lo))
-    tie = np.zeros(len(perm), bool)
-    tie[1:] = ~head[1:] & (doc[perm][1:] == doc[perm][:-1]) & (lo[perm][1:] == lo[perm][:-1])
-    again = perm[~head & ~tie]
-    yield _span_batch(*_joined(doc[again], lo[again], n[again]))
-    left = perm[head]
-    d = digit[left]
-    begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, len(d)))
-    size = np.repeat(size, size)
-    stay = (size > 1) | (inner[left] > 0)
-    left, size = left[stay], size[stay]
-    yield _span_batch(doc[left], lo[left], n[left], digit[left], (size > HOT).astype(np.int32))
+    for kind in (0, 2):
+        digit, whole, whole2, doc, lo, n, inner = gather(held.get(kind, []), _RUN)
+        perm, head = first_of((digit, whole, whole2), (doc, lo))
+        again = _again(perm, head, doc, lo)
+        yield _span_batch(*_joined(doc[again], lo[again], n[again]))
+        left = perm[head]
+        if kind == 2:  # other runs of a frequent digit are elsewhere
+            yield _span_batch(doc[left], lo[left], n[left], digit[left], np.ones(len(left), np.int32))
+            continue
+        d = digit[left]
+        begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(d)))
+        size = np.repeat(size, size)
+        stay = (size > 1) | (inner[left] > 0)
+        left, size = left[stay], size[stay]
+        yield _span_batch(doc[left], lo[left], n[left], digit[left], (size > HOT).astype(np.int32))
 
 
 def _third_pass(parts: int):
@@ -155,13 +185,11 @@ def _third_pass(parts: int):
                 if len(o):
                     w_lo = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
                     w_own, w_digit = np.repeat(o, m), np.repeat(g, m)
-                    last = window_digits(prefix_hash(piece), offsets[w_own] + w_lo - base)
+                    last, last2 = window_digits(piece, offsets[w_own] + w_lo - base)
                     doc = keys[w_own]
-                    perm, head_ = first_of((w_digit, last), (doc, w_lo))
-                    tie = np.zeros(len(perm), bool)
-                    tie[1:] = ~head_[1:] & (doc[perm][1:] == doc[perm][:-1]) & (w_lo[perm][1:] == w_lo[perm][:-1])
-                    f, r = perm[head_], perm[~head_ & ~tie]
-                    rows += [(p, 0, c) for p, c in deal(part_of(last[f], parts), parts, w_digit[f], last[f], doc[f], w_lo[f].astype(np.int32))]
+                    perm, head_ = first_of((w_digit, last, last2), (doc, w_lo))
+                    f, r = perm[head_], _again(perm, head_, doc, w_lo)
+                    rows += [(p, 0, c) for p, c in deal(part_of(last[f], parts), parts, w_digit[f], last[f], last2[f], doc[f], w_lo[f].astype(np.int32))]
                     s = _joined(doc[r], w_lo[r].astype(np.int32), np.ones(len(r), np.int32))
                     rows += [(p, 1, c) for p, c in deal(s[0] % parts, parts, *s)]
                 if rows:
@@ -173,25 +201,27 @@ def _third_pass(parts: int):
 def _last_pass(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
     """Groups that agree through the whole depth: all but the first are marked."""
     yield _span_batch(*gather(held.get(1, []), _SPAN))
-    digit, last, doc, lo = gather(held.get(0, []), _WINDOW)
-    got = [[digit], [last], [doc], [lo]]
+    digit, last, last2, doc, lo = gather(held.get(0, []), _WINDOW)
+    perm, head = first_of((digit, last, last2), (doc, lo))
+    r = _again(perm, head, doc, lo)
+    yield _span_batch(*_joined(doc[r], lo[r], np.ones(len(r), np.int32)))
+    got, raws, begun = [], [], 0
     for cell in held.get(2, []):
         size = int.from_bytes(cell[:8], "little")
         (g, d, a, m) = gather([cell[8 : 8 + size]], [np.uint64, np.int64, np.int32, np.int32])
-        raw = np.frombuffer(cell, np.uint8, offset=8 + size)
+        raws.append(np.frombuffer(cell, np.uint8, offset=8 + size))
         length = m.astype(np.int64) + DEPTH - 1
         at, m = np.cumsum(length) - length, m.astype(np.int64)
         step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        got[0].append(np.repeat(g, m))
-        got[1].append(window_digits(prefix_hash(raw), np.repeat(at, m) + step))
-        got[2].append(np.repeat(d, m))
-        got[3].append((np.repeat(a, m) + step).astype(np.int32))
-    digit, last, doc, lo = map(np.concatenate, got)
-    perm, head = first_of((digit, last), (doc, lo))
-    tie = np.zeros(len(perm), bool)
-    tie[1:] = ~head[1:] & (doc[perm][1:] == doc[perm][:-1]) & (lo[perm][1:] == lo[perm][:-1])
-    r = perm[~head & ~tie]
-    yield _span_batch(*_joined(doc[r], lo[r], np.ones(len(r), np.int32)))
+        got.append((np.repeat(g, m), np.repeat(d, m), (np.repeat(a, m) + step).astype(np.int32), begun + np.repeat(at, m) + step))
+        begun += len(raws[-1])
+    if got:
+        digit, doc, lo, start = map(np.concatenate, zip(*got))
+        tied, group = radix_groups(np.concatenate(raws), start, digit)
+        doc, lo = doc[tied], lo[tied]
+        perm, head = first_of((group,), (doc, lo))
+        r = _again(perm, head, doc, lo)
+        yield _span_batch(*_joined(doc[r], lo[r], np.ones(len(r), np.int32)))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
@@ -214,9 +244,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, carry: list[str]) -> tu
     ``carry`` columns travel with the texts, which cross the network once: both
     joins on the key read the same exchange.
     """
-    parts = parts_of(docs)
+    parts = parts_of(docs, text)
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).where("key is not null")
-    second = by_part(base.select("key", "text").mapInArrow(_first_pass(parts), CELL_SCHEMA), parts, _second_pass, _SPAN_SCHEMA)
+    frequent = _frequent_digits(base.select("key", "text"))
+    second = by_part(base.select("key", "text").mapInArrow(_first_pass(parts, frequent), CELL_SCHEMA), parts, _second_pass, _SPAN_SCHEMA)
     play = second.where("digit is not null").groupBy("key").agg(F.collect_list(F.struct("lo", "n", "digit", "hot")).alias("play"))
     third = base.join(play.withColumnRenamed("key", "p_key"), F.col("key") == F.col("p_key")).drop("p_key").mapInArrow(_third_pass(parts), CELL_SCHEMA)
     last = by_part(third, parts, _last_pass, _SPAN_SCHEMA)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import _BYTE, mix, prefix_hash, range_hash
+from .common import prefix_hash, range_hash
 
 #: Depth in bytes through which suffixes are ordered: the length of a repeated string.
 DEPTH = 100
@@ -33,14 +33,15 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring windows with the same first digit, over all texts of a chunk.
 
     Returns per run: text number, first window's start in the text, number of
-    windows, first digit, hash of the run's bytes, and whether windows inside
-    the run may be equal; and the prefix hashes.
+    windows, first digit, two hashes of the run's bytes, and whether windows
+    inside the run may be equal.
     """
     prefix = prefix_hash(data)
     n = len(data)
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, *[none.astype(np.uint64)] * 3, none.astype(bool)
     if n < DEPTH:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), prefix
+        return nothing
     at = np.arange(n - GRAM + 1)
     gram = range_hash(prefix, at, at + GRAM)
     least = sliding(gram, SPAN, np.minimum, _TOP)
@@ -50,14 +51,14 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(size)), windows)
     start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[text]
     if not len(start):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), prefix
+        return nothing
     value = least[start]
     new = np.ones(len(start), bool)
     new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     lo, owner, digit = start[first], text[first], value[first]
-    whole = range_hash(prefix, lo, lo + count + DEPTH - 1)
+    whole, whole2 = (range_hash(p, lo, lo + count + DEPTH - 1) for p in (prefix, prefix_hash(data, True)))
     # Two equal windows of one run hold the least gram at two places, and no
     # other window's least gram lies between these.
     most = sliding(np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)]), SPAN, np.maximum, np.uint64(0))
@@ -68,12 +69,37 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         twice[-1] = twice[-2]
     a, b = np.searchsorted(anchors, lo), np.searchsorted(anchors, lo + count + SPAN - 1)
     inner = (b - a >= 2) & (twice[np.maximum(b - 1, 0)] > twice[a])
-    return owner, lo - offsets[owner], count, digit, whole, inner, prefix
+    return owner, lo - offsets[owner], count, digit, whole, whole2, inner
 
 
-def window_digits(prefix: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The digit through the whole depth of the windows at ``start``."""
-    return range_hash(prefix, start, start + DEPTH)
+def window_digits(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digits, 128 bits in all, through the whole depth of the windows at ``start``."""
+    first, second = (range_hash(prefix_hash(data, k), start, start + DEPTH) for k in (False, True))
+    return first, second
+
+
+def radix_groups(raw: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Depth-limited radix sort of the windows at ``start``, most significant digit first, inside the given groups.
+
+    A digit is 8 bytes of the text itself (4 in the last pass). Each pass orders
+    only windows that are still tied with another. Returns the windows tied
+    through the whole depth, and their groups.
+    """
+    at = np.arange(len(start))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    for depth in range(-8, DEPTH, 8):
+        # Before the first digit only the groups as given are told apart.
+        digit = words[start[at] + depth].astype(np.uint64) if depth >= 0 else np.zeros(len(at), np.uint64)
+        if depth > DEPTH - 8:
+            digit >>= np.uint64(8 * (depth + 8 - DEPTH))
+        order = np.lexsort((digit, group))
+        at, digit, group = at[order], digit[order], group[order]
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])
+        tied = ~(new[:-1] & new[1:])
+        at, group = at[tied], np.cumsum(new[:-1])[tied]
+    return at, group
 
 
 def first_of(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,4 +111,4 @@ def first_of(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> tup
     return perm, head
 
 
-__all__ = ["DEPTH", "GRAM", "first_of", "mix", "runs", "sliding", "window_digits", "_BYTE"]
+__all__ = ["DEPTH", "GRAM", "first_of", "radix_groups", "runs", "sliding", "window_digits"]
