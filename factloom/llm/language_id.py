@@ -3,17 +3,17 @@
 For each language a suffix automaton of its labelled text recognises every
 substring of that text. A document is parsed greedily into longest matches
 against each automaton; the language that needs the fewest phrases for a
-character wins. Automata are built on a bounded sample, at most
-``SAMPLE_CHARS`` characters of each language, taken in order of a hash of the
-id; all texts are then parsed whole.
+character wins. Automata are built on a bounded sample of whole labelled texts,
+about ``SAMPLE_CHARS`` characters of each language, taken in order of a hash;
+all texts are then parsed whole.
 
 Every character of the samples has a symbol of its own, small and capital
 letters one for both, whatever the number of scripts; a character that a
 language's sample lacks ends the phrase in that language, and the next phrase,
-which it begins, goes on with the match after it. For speed the automata's steps stand in one open-addressed table, whose size follows the
-samples and not the alphabet, and texts are cut into strips of ``STRIP``
-characters that all advance in step; a phrase ends at a strip's end, which adds
-at most one phrase in ``STRIP`` characters for each language alike.
+which it begins, goes on with the match after it. For speed the automata's
+steps stand in one open-addressed table, whose size follows the samples and not
+the alphabet, and texts are cut into strips of ``STRIP`` characters that advance
+in step; the phrases are those of a parse from the text's beginning.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0.0; so is every text if nothing was learned; if languages tie, the smaller
@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Bound on the characters of each language that its automaton is built on,
-#: on the languages, and on the documents looked at for each.
+#: Bounds on the sample of each language: texts are taken, whole, until they have so many characters,
+#: so many documents are looked at, and longer texts only where a language has no shorter one.
 SAMPLE_CHARS = 40_000
 SAMPLE_DOCS = 400
-SAMPLE_SLICE = 2_000
+SAMPLE_LONGEST = 4_000
+#: Characters of the strips that are parsed in step; results do not depend on it.
 STRIP = 512
 #: Steepness with which phrases a character become a score.
 STEEPNESS = 60.0
@@ -146,34 +147,72 @@ class LanguageModel:
         self.table = StepTable(np.array(keys, np.int64), np.array(targets, np.int32))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by text and language, and the texts' lengths in characters."""
+        """Phrases by text and language, and the texts' lengths in characters.
+
+        All strips are parsed in step as if a phrase began with each. Then each
+        strip's last phrase is followed on into the strips after it until it ends
+        where one of theirs does; from there on both parses are the same.
+        """
         n = np.array([len(t) for t in texts], np.int64)
-        cp = codepoints("".join(texts))
-        sym = self.symbol[cp]
+        sym = self.symbol[codepoints("".join(texts))]
         ends = np.cumsum(n)
         strips = -(-n // STRIP)
         owner = np.repeat(np.arange(len(texts)), strips)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(strips) - strips, strips)
-        start = (ends - n)[owner] + k * STRIP
-        size = np.minimum(STRIP, ends[owner] - start)
-        order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
+        first = np.cumsum(strips) - strips
+        start = (ends - n)[owner] + (np.arange(len(owner)) - first[owner]) * STRIP
+        stop = np.minimum(start + STRIP, ends[owner])
+        cut, state = self._parse_strips(sym, start, stop)
+        extra, met = self._follow(sym, cut, state, stop, ends[owner])
+        count = np.ones((len(self.langs), len(texts)))
+        for j in range(len(self.langs)):
+            before = np.concatenate([[0], np.cumsum(cut[j], dtype=np.int64)])
+            text, strip, at = np.flatnonzero(strips), first[strips > 0], start[first[strips > 0]]
+            while len(text):  # from the strip whose parse holds from ``at`` on to the one that its last phrase meets
+                count[j, text] += before[stop[strip]] - before[at] + extra[j, strip]
+                to = met[j, strip]
+                more = to < ends[text]
+                text, to = text[more], to[more]
+                strip, at = first[text] + (to - (ends - n)[text]) // STRIP, to + 1
+        return count, n
+
+    def _advance(self, lang: np.ndarray, state: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after symbols ``s``, and where a missing step ended the phrase: the next one begins with the symbol."""
+        to = self.table.step(state.astype(np.int64) * self.width + s)
+        missing = to < 0
+        return np.where(missing, self.first[lang, s], to), missing
+
+    def _parse_strips(self, sym: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By language: where phrases end, each strip parsed by itself, and the state at each strip's end."""
+        langs = np.arange(len(self.langs))
+        order = np.argsort(start - stop, kind="stable")
+        at, size = start[order], (stop - start)[order]
         alive = np.searchsorted(-size, -np.arange(STRIP), "left")  # strips longer than each step
-        sym = np.append(sym, np.zeros(STRIP, np.int32))
-        count = np.zeros((len(self.langs), len(texts)))
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
-        ended = np.ones((len(self.langs), len(owner)), np.int32)
+        cut = np.zeros((len(langs), len(sym)), bool)
+        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(at), 1)
         for i in range(int(size[0]) if len(size) else 0):
             m = alive[i]
-            s, at = sym[start[:m] + i], state[:, :m]
-            to = self.table.step((at.astype(np.int64) * self.width + s).ravel()).reshape(at.shape)
-            # A missing step ends the phrase, and the next one begins with this character.
-            missing = to < 0
-            ended[:, :m] += missing
-            state[:, :m] = np.where(missing, self.first[:, s], to)
-        for j in range(len(self.langs)):
-            count[j] = np.bincount(owner, ended[j], len(texts))
-        return count, n
+            s = np.tile(sym[at[:m] + i], len(langs))
+            to, missing = self._advance(np.repeat(langs, m), state[:, :m].ravel(), s)
+            state[:, :m] = to.reshape(-1, m)
+            cut[:, at[:m] + i] = missing.reshape(-1, m)
+        out = np.empty_like(state)
+        out[:, order] = state
+        return cut, out
+
+    def _follow(self, sym: np.ndarray, cut: np.ndarray, state: np.ndarray, stop: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By language and strip: phrases that end behind it before both parses meet, and the place where they do (the text's end if nowhere)."""
+        extra, met = np.zeros(state.shape, np.int64), np.repeat(end[None, :], len(state), 0)
+        lang, strip = np.nonzero(np.repeat((stop < end)[None, :], len(state), 0))
+        at, now = stop[strip], state[lang, strip]
+        while len(at):
+            now, missing = self._advance(lang, now, sym[at])
+            extra[lang[missing], strip[missing]] += 1
+            same = missing & cut[lang, at]
+            met[lang[same], strip[same]] = at[same]
+            at = at + 1
+            on = ~same & (at < end[strip])
+            lang, strip, at, now = lang[on], strip[on], at[on], now[on]
+        return extra, met
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -191,21 +230,28 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Automata of a bounded sample of the labelled texts in ``docs``.
+    """Automata of a bounded sample of the labelled texts in ``docs``, each taken whole.
 
-    Only ids and hashes are ranked. For each language at most ``SAMPLE_DOCS``
-    documents, each with at most ``SAMPLE_SLICE`` characters, come to the driver.
+    Only hashes and lengths are ranked, at most ``SAMPLE_DOCS`` for each
+    language; a second scan brings the texts that were chosen, and these alone,
+    to the driver.
     """
-    h = F.xxhash64(id_col, F.lit("language"))
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), h.alias("h"), F.substring(text_col, 1, SAMPLE_SLICE).alias("t"))
+    # The hash covers the text, so rows that share an id or have none are drawn by themselves.
+    keyed = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col, F.lit("language")).alias("h"), F.col(text_col).alias("t")).where("lang is not null and t is not null and trim(t) != ''")
+    rows = keyed.select("lang", "h", F.length("t").alias("n"))
+    # Longer texts come after all others, the shortest first, for languages that have no others.
+    rows = rows.select("lang", "h", "n", F.when(F.col("n") > SAMPLE_LONGEST, F.col("n")).otherwise(0).alias("late"))
     # A first cut inside each partition keeps a common language from meeting in one task.
-    part = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min(F.struct("h", "t")).alias("x")).select("lang", "x.*")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    samples: dict[str, str] = {}
-    for lang, t in part.withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).orderBy("lang", "r").select("lang", "t").toLocalIterator():
-        if len(samples.get(lang, "")) < SAMPLE_CHARS:
-            samples[lang] = (samples.get(lang, "") + "\n" + t)[:SAMPLE_CHARS]
-    return LanguageModel({k: v for k, v in samples.items() if v.strip()})
+    part = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min(F.struct("late", "h", "n")).alias("x")).select("lang", "x.*")
+    by_rank = Window.partitionBy("lang").orderBy("late", "h")
+    before = F.coalesce(F.sum("n").over(by_rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = part.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).where((F.col("late") == 0) | (F.col("before") == 0))
+    picked = chosen.select(F.col("lang").alias("c_lang"), F.col("h").alias("c_h"), "late")
+    drawn = keyed.join(picked, (F.col("lang") == F.col("c_lang")) & (F.col("h") == F.col("c_h"))).groupBy("lang", "late", "h").agg(F.min("t").alias("t"))
+    samples: dict[str, list[str]] = {}
+    for lang, t in drawn.orderBy("lang", "late", "h").select("lang", "t").toLocalIterator():
+        samples.setdefault(lang, []).append(t)
+    return LanguageModel({k: "\n".join(v) for k, v in samples.items()})
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
