@@ -34,7 +34,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
-    return chats.select("conv_id", "turn", "role", "opens", "closes", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+    return chats.select("conv_id", "turn", "part", "role", "opens", "closes", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
