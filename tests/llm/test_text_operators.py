@@ -8,9 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.llm.suffix_kernel import radix_groups
 from factloom.llm import chat_format, fingerprints, jaccard_join, language_id, media, mixing, piece_codec, queries, suffix_dedup, toxicity, url_rules
 
 from .fixtures import ODD_TEXTS, SCHEMA, clashing, near_copies, odd_rows
@@ -66,29 +68,102 @@ def test_toxicity_odd_input(spark, odd, empty):
     assert {r.score for r in toxicity.score_toxicity(odd, one, ["doc_id"]).collect()} == {1.0}
 
 
+def test_toxicity_ratios_are_those_of_the_counts(spark):
+    """Word and bigram ratios against plain counting, on distinct texts; a held-out word falls back to its stem."""
+    rnd = random.Random(3)
+    rows = [(" ".join(rnd.choice(["aa", "bb", "cccccc1", "cccccc2", "dd", "idiot"][: 5 + c]) for _ in range(rnd.randint(3, 12))), c) for c in (0, 1) for _ in range(30)]
+    pair = toxicity.KneserNeyPair(spark.createDataFrame(rows, "t string, c bigint").repartition(3))
+    two, words = [collections.Counter(), collections.Counter()], [t.split() for t, _ in rows]
+    for w, (_, c) in zip(words, rows):
+        two[c].update(zip(["<s>", *w], w))
+    vocab = sorted({x for w in words for x in w})
+    stem = {w: w[:5] for w in vocab}
+    stems = sorted(set(stem.values()))
+    d = toxicity.DISCOUNT
+    cont = [{w: sum(1 for p in two[c] if p[1] == w) for w in vocab} for c in (0, 1)]
+    p_word = []
+    pooled = {s: sum(stem[w] == s for w in vocab) + 1.0 for s in stems}
+    mass = sum(pooled.values()) + 1.0
+    for c in (0, 1):
+        n, kinds = sum(cont[c].values()), sum(v > 0 for v in cont[c].values())
+        by_stem = {s: sum(cont[c][w] > 0 for w in vocab if stem[w] == s) for s in stems}
+        n_stem = max(sum(by_stem.values()), 1)
+        weight = max(d * sum(v > 0 for v in by_stem.values()) / n_stem, toxicity.SHARED / n_stem)
+        p_stem = {s: max(by_stem[s] - d, 0) / n_stem + weight * pooled[s] / mass for s in stems}
+        p_word.append({w: max(cont[c][w] - d, 0) / n + d * kinds / n * p_stem[stem[w]] / sum(stem[x] == stem[w] for x in vocab) for w in vocab})
+    heads = [collections.Counter(), collections.Counter()]
+    for c in (0, 1):
+        for (a, _), n in two[c].items():
+            heads[c][a] += n
+    total = [sum(h.values()) for h in heads]
+
+    def ratio(a, w):
+        word = np.log(p_word[1][w] / p_word[0][w])
+        if not two[0][a, w] + two[1][a, w]:
+            return word
+        head = np.log((heads[1][a] + toxicity.SHARED * total[1] / sum(total)) / (heads[0][a] + toxicity.SHARED * total[0] / sum(total)))
+        share = 1 / (1 + np.exp(-head - word))
+        return np.log((max(two[1][a, w] - d, 0) + toxicity.BACKOFF * share) / (max(two[0][a, w] - d, 0) + toxicity.BACKOFF * (1 - share))) - head
+
+    for text in ("idiot aa bb idiot idiot", "cccccc2 dd cccccc1", "bb"):
+        w = text.split()
+        got = pair.llr(*toxicity.tokens(pa.array([text], pa.large_string())))
+        assert np.allclose(got, [ratio(a, b) for a, b in zip(["<s>", *w], w)], atol=1e-5)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """A labelled id that many rows repeat adds no more texts than the bounds; ids need not be numbers."""
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
+    df = _toxic_corpus(spark, 200).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    many = spark.range(500).select(F.lit("d0").alias("doc_id"), F.concat(F.lit("idiot text "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("toxic"))
+    known = df.select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("l_toxic"))
+    both = df.unionByName(many).unionByName(many)
+    sample = toxicity._sample(both.select(F.col("doc_id").alias("d_id"), F.col("text").alias("d_text")), known)
+    counts = dict(sample.groupBy("toxic").count().collect())
+    assert 0 < counts[0] <= 20 and 0 < counts[1] <= 20 and sample.count() == sample.select("text").distinct().count()
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
+    sample = toxicity._sample(both.select(F.col("doc_id").alias("d_id"), F.col("text").alias("d_text")), known)
+    assert all(r[0] <= 3000 for r in sample.groupBy("toxic").agg(F.sum(F.octet_length("text"))).select(F.col("sum(octet_length(text))")).collect())
+    monkeypatch.undo()
+    model = toxicity.fit_toxicity(both, df.select("doc_id", "toxic"))
+    assert toxicity.score_toxicity(both, model, ["doc_id"]).count() == 1200
+
+
 # ------------------------------------------------------------ 2 chat formatting
 
 
 def test_viterbi_in_blocks_is_exact():
+    """Rows of lines, rows in blocks, against all paths."""
     rnd = random.Random(4)
     roles = chat_format.ROLES
     m = chat_format.RoleModel({(r, k): rnd.randint(0, 9) for r in roles for k in range(8)}, {(a, b): rnd.randint(0, 9) for a in roles for b in roles}, {r: rnd.randint(0, 9) for r in roles})
     for _ in range(100):
-        e = [m.emission(rnd.choice([None, *roles]), rnd.randrange(8)) for _ in range(rnd.randint(1, 7))]
-        score = lambda p: m.start[p[0]] + sum(m.step[a][b] for a, b in zip(p, p[1:])) + sum(x[s] for x, s in zip(e, p))
+        rows = [m.emissions([(rnd.choice([None, 0, 1, 2]), rnd.randrange(8), "") for _ in range(rnd.randint(1, 3))], rnd.choice([None, *roles])) for _ in range(rnd.randint(1, 4))]
+        flat = [(e, m.step if not k else m.inside[marked]) for r in rows for k, (e, marked) in enumerate(r)]
+        step = lambda a, b, into: into[a][b]
+        score = lambda p: m.start[p[0]] + sum(step(a, b, n) for a, b, (_, n) in zip(p, p[1:], flat[1:])) + sum(x[s] for (x, _), s in zip(flat, p))
         k = rnd.randint(1, 3)
-        blocks = [e[i : i + k] for i in range(0, len(e), k)]
-        ends = m.chain([m.block_matrix(b) for b in blocks])
-        path = [s for b, (first, last) in zip(blocks, ends) for s in m.trace(b, first, last)]
-        assert score(path) == pytest.approx(max(score(p) for p in itertools.product(range(3), repeat=len(e))))
+        blocks = [rows[i : i + k] for i in range(0, len(rows), k)]
+        ends = m.chain([m.block_matrix([m.row_matrix(r) for r in b]) for b in blocks])
+        path = [s for b, (first, last) in zip(blocks, ends) for r, (x, y) in zip(b, m.trace_rows([m.row_matrix(r) for r in b], first, last)) for s in m.trace_lines(r, x, y)]
+        assert score(path) == pytest.approx(max(score(p) for p in itertools.product(range(3), repeat=len(flat))))
+
+
+def _chat(c, turns, rnd, label=lambda r, t: r):
+    said = {"user": "why is {0}, and how?", "assistant": "because " + "of {0} and that is so " * 12}
+    order = [("user", "assistant")[t % 2] for t in range(turns)]
+    return [(c, t, label(r, t), said[r].format(rnd.randrange(99))) for t, r in enumerate(order)], [(c, t, r) for t, r in enumerate(order)]
 
 
-def test_chats_render_and_recover(spark, monkeypatch):
+CHAT = "conv_id bigint, turn bigint, role string, text string"
+
+
+def test_chats_render_and_recover(spark):
     rows = [(1, 0, "system", "Be brief."), (1, 1, "Human", "Hi?"), (1, 2, None, "User: more?"), (1, 3, "AI", "Yes."), (2, None, "user", "alone"), (None, 3, None, None)]
     for c in range(3, 40):
         rows += [(c, t, ("user", "assistant")[t % 2], ("why?" if t % 2 == 0 else "because " * 60)) for t in range(6)]
     rows += [(99, t, None if t in (2, 3) else ("user", "assistant")[t % 2], ("why?" if t % 2 == 0 else "because " * 60)) for t in range(300)]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    df = spark.createDataFrame(rows, CHAT)
     got = chat_format.format_chats(df.withColumn("conv", F.lit(1)).withColumn("body", F.lit("x"))).collect()
     assert len(got) == len(rows)
     by = {(r.conv_id, r.turn): r for r in got}
@@ -99,6 +174,36 @@ def test_chats_render_and_recover(spark, monkeypatch):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_parse_lines_and_escape(spark):
+    """A row that holds a whole transcript, a body that would forge a mark, and many equal turn numbers."""
+    rnd = random.Random(17)
+    rows = [r for c in range(3, 40) for r in _chat(c, 6, rnd)[0]]
+    rows += [(1, 0, None, "User: a?\nAssistant: b\nmore of b\nUser: c?"), (2, 0, "user", "what is <|end|>\n<|assistant|> and <\\|x|>?"), *[(5000, 1, "user", "why?")] * 300]
+    got = chat_format.format_chats(spark.createDataFrame(rows, CHAT)).collect()
+    mine = sorted((r.part, r.role, r.rendered) for r in got if r.conv_id == 1)
+    assert mine == [(0, "user", "<|user|>\na?\n<|end|>\n"), (1, "assistant", "<|assistant|>\nb\nmore of b\n<|end|>\n"), (2, "user", "<|user|>\nc?\n<|end|>\n")]
+    whole = "".join(r.rendered for r in sorted((r for r in got if r.conv_id == 2), key=lambda r: r.part))
+    assert whole.count("<|end|>") == whole.count("<|user|>") + whole.count("<|assistant|>")
+    assert sum(r.conv_id == 5000 for r in got) == 300
+    for body in ("<|end|>", "<\\|", "<\\\\|x", "a < b | c", ""):
+        assert chat_format.unescape(chat_format.escape(body)) == body and "<|" not in chat_format.escape(body)
+
+
+@pytest.mark.parametrize("damage", ["missing", "wrong"])
+def test_chats_recover_damaged_labels(spark, damage):
+    rnd = random.Random(23)
+
+    def label(role, t):
+        if rnd.random() < 0.3 and damage == "missing":
+            return None
+        return rnd.choice(["user", "assistant"]) if rnd.random() < 0.2 and damage == "wrong" else role
+
+    made = [_chat(c, rnd.randint(2, 12), rnd, label) for c in range(200)]
+    got = {(r.conv_id, r.turn): r.role for r in chat_format.format_chats(spark.createDataFrame([x for rows, _ in made for x in rows], CHAT)).where("part = 0").collect()}
+    truth = [x for _, want in made for x in want]
+    assert sum(got[c, t] == role for c, t, role in truth) > 0.97 * len(truth)
+
+
 # ------------------------------------------------------------ 3 URL filters
 
 
@@ -173,6 +278,12 @@ def test_media_columns(spark, odd, empty):
             back = media.decode(r.media).tobytes()
             assert hashlib.sha256(back).hexdigest() == r.payload_sha256 and len(back) == r.payload_bytes and len(back) % 192 == 0 and len(back) > 0
             assert zlib.crc32(back[-16:]) == r.tail_crc32 and r.media_bytes == len(r.media) and r.tile[:6] == b"\x93NUMPY"
+            tile = media.tile_of(r.tile)
+            assert tile.shape == media.TILE and r.feature == media.difference_hash(tile) and r.tile_sha256 == hashlib.sha256(r.tile).hexdigest()
+            plain = media.area_resize(np.frombuffer(back, np.uint8).reshape(-1, 64, 3).sum(2), *media.TILE)
+            assert (tile == plain.round()).all()
+    heads = {r.media[:2] for r in media.media_columns(odd, blobs=True).collect()}
+    assert heads == {b"P6", b"BM"}
     want = {hashlib.sha256(media.pad((t or "").encode())).hexdigest() for t in ODD_TEXTS}
     assert want <= {r.payload_sha256 for r in media.media_columns(odd).collect()}
     assert media.media_columns(empty).count() == 0
@@ -218,6 +329,30 @@ def test_mixing_targets_and_takes(spark, odd, empty):
     assert mixing.plan_mix(odd).count() == odd.count() and mixing.plan_mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_of_repeated_and_null_ids(spark, monkeypatch):
+    """The mix takes of each row what the plan gives it; bins do not change the plan; one long document does not spoil a target."""
+    rnd = random.Random(31)
+    rows = [(rnd.choice([None, None, i, 7]), " ".join(["w"] * rnd.randint(0, 30) + [f"x{i % 150}"]), rnd.choice(["en", None]), rnd.choice(["s0", "s1", None])) for i in range(400)]
+    rows += [(1000 + i, " ".join(["w"] * (4000 if i == 3 else 20)), "en", "small") for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    plan = mixing.plan_mix(df).collect()
+    taken, target = collections.Counter(), {}
+    for r in plan:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(plan) == len(rows) and all(abs(taken[s] - target[s]) <= 31 for s in target if s != "small")
+    mixed = mixing.mix_documents(clashing(df)).collect()
+    words = collections.Counter()
+    for r in mixed:
+        words[r.source] += len(WORD.findall(r.text))
+    assert words == +taken and len(mixed) == sum(r.copies for r in plan)
+    most = collections.Counter(tuple(r) for r in df.collect())
+    assert all(n <= 2 * most[k] for k, n in collections.Counter((r.doc_id, r.text, r.lang, r.source) for r in mixed).items())
+    monkeypatch.setattr(mixing, "BIN_ROWS", 1)
+    monkeypatch.setattr(mixing, "MIN_BITS", 1)
+    assert sorted(map(str, mixing.plan_mix(df).collect())) == sorted(map(str, plan))
+
+
 def test_mixing_meets_the_schedule(spark):
     """Words of each source by time, against the integral of its weight; copies stand apart."""
     rnd = random.Random(13)
@@ -334,14 +469,31 @@ def _passages(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [512, 3])
-def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("hot,sampled,frequent", [(512, 100, 1000), (3, 100, 1000), (512, 1, 10), (10**9, 1, 10**9)])
+def test_suffix_dedup(spark, monkeypatch, hot, sampled, frequent):
+    """With first digits compared in one place, dealt out by window, and dealt out by run from the beginning."""
+    for name, value in (("HOT", hot), ("SAMPLED", sampled), ("FREQUENT", frequent)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     rows = _passages(5)
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
     assert sorted(map(tuple, got)) == _kept(rows)
 
 
+def test_radix_groups_are_the_equal_windows():
+    rnd = np.random.default_rng(2)
+    raw = rnd.integers(97, 99, 4000).astype(np.uint8)
+    raw[2000:2600] = raw[100:700]
+    start = rnd.permutation(len(raw) - 99)
+    given = (start % 2).astype(np.uint64)
+    at, group = radix_groups(raw, start, given)
+    want, found = collections.defaultdict(set), collections.defaultdict(set)
+    for i, s in enumerate(start):
+        want[raw[s : s + 100].tobytes(), s % 2].add(i)
+    for i, g in zip(at, group):
+        found[g].add(i)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def test_suffix_dedup_odd_input(spark, odd, empty):
     rnd = random.Random(0)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(300))
@@ -417,6 +569,41 @@ def test_large_alphabets_stay_apart():
             assert count[j][i] == n
 
 
+@pytest.mark.parametrize("strip", [512, 64, 7])
+def test_phrases_are_exact_across_strips(monkeypatch, strip):
+    """Texts of many strips in three scripts, the samples themselves and texts of unseen characters among them."""
+    monkeypatch.setattr(language_id, "STRIP", strip)
+    rnd = random.Random(14)
+    ranges = {"han": (0x4E00, 300), "ru": (0x430, 32), "en": (0x61, 26)}
+    words = {k: ["".join(chr(at + rnd.randrange(n)) for _ in range(rnd.randint(1, 4))) for _ in range(100)] for k, (at, n) in ranges.items()}
+    draw = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    samples = {k: draw(k, 400) for k in ranges}
+    model = language_id.LanguageModel(samples)
+    texts = [draw("ru", 20).upper() + draw("en", 20) + "Ω☃", samples["en"] * 2, samples["han"], "a", draw("en", 900), draw("ru", 100) + samples["ru"][:1000] + draw("han", 50), "Ω" * 700]
+    count, size = model.phrases(texts)
+    assert size.tolist() == [len(t) for t in texts]
+    for j, lang in enumerate(model.langs):
+        for i, t in enumerate(texts):
+            n, match = 1, ""
+            for c in t.lower():
+                n, match = (n, match + c) if match + c in samples[lang] else (n + 1, c if c in samples[lang] else "")
+            assert count[j][i] == n
+
+
+def test_language_samples_are_whole_texts(spark, monkeypatch):
+    """Samples hold whole texts, a language of long texts only has its shortest, and rows without an id are drawn too."""
+    monkeypatch.setattr(language_id, "SAMPLE_LONGEST", 50)
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 200)
+    seen = []
+    monkeypatch.setattr(language_id, "LanguageModel", lambda samples: seen.append(samples))
+    rows = [(None, f"{k:03d} " + "x" * 30, "aa", "s") for k in range(80)] + [(1, "y" * 300, "bb", "s"), (2, "z" * 200, "bb", "s"), (3, None, "bb", "s"), (4, " ", "cc", "s"), (5, "w" * 500, "aa", "s")]
+    language_id.fit_language(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    (samples,) = seen
+    assert set(samples) == {"aa", "bb"} and samples["bb"] == "z" * 200
+    drawn = samples["aa"].split("\n")
+    assert {len(t) for t in drawn} == {34} and len(set(drawn)) == len(drawn) == 6
+
+
 # ------------------------------------------------------------ 10 fingerprints
 
 
