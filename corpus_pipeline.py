@@ -44,9 +44,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that stand earlier in the corpus go from each text."""
-    others = [c for c in docs.columns if c != "text"]
-    kept = suffix_dedup.remove_repeats(docs, carry=others, texts=True)
-    return kept.select(*[F.col("kept").alias("text") if c == "text" else F.length("kept").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    names = {c: f"doc_{k}" for k, c in enumerate(docs.columns)}
+    others = [n for c, n in names.items() if c != "text"]
+    inner = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    kept = suffix_dedup.remove_repeats(inner, names["doc_id"], names["text"], carry=others, texts=True)
+    return kept.select(*[F.col("kept").alias("text") if c == "text" else F.length("kept").cast("long").alias("n_chars") if c == "n_chars" else F.col(n).alias(c) for c, n in names.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
