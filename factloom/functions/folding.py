@@ -7,7 +7,8 @@ Expression nodes: {"t": "lit", "v": ...}, {"t": "var", "name"}, {"t": "array",
 "items": [{"value", "unpack"}]}, {"t": "static", "class", "name", "args",
 "callable"}, {"t": "method", "var", "name", "args", "callable"}, {"t": "const",
 "class", "name", "enum"}, {"t": "new", "class", "args", "callable"}; arguments
-are {"value", "unpack", "name"}.
+are {"value", "unpack", "name"}. Any node may carry "v", the one constant value of
+its type, which holds where nothing else folds it.
 """
 
 from __future__ import annotations
@@ -51,24 +52,23 @@ def fold(node: dict | None, bindings: dict) -> dict | None:
     if node is None:
         return None
     t, open_call = node.get("t"), node.get("callable")
-    if t == "var":
-        return bindings.get(node["name"])
+    bound = bindings.get(node["name"]) if t == "var" else None
+    if bound is not None:
+        return bound
     if t == "array":
         return {"kind": "array", "items": [_spread("spread array item") if i.get("unpack") else fold(i["value"], bindings) or _unknown("non-constant array item") for i in node["items"]]}
-    if open_call:
-        return None
-    if t == "static":
+    if t == "static" and not open_call:
         return {"kind": "descriptor", "name": f"{node['class']}::{node['name']}", "args": fold_args(node["args"], bindings, "factory arg"), "chain": []}
-    if t == "method":
+    if t == "method" and not open_call:
         on = fold(node["var"], bindings)
         if on and on["kind"] == "descriptor":
             call = {"name": node["name"], "args": fold_args(node["args"], bindings, "chained-call arg")}
             return {**on, "chain": [*on["chain"], call]}
-        return None
     if t == "const" and node.get("enum") and node["name"].lower() != "class":
         return {"kind": "scalar", "value": node["name"]}
-    if t == "new" and node.get("class"):
+    if t == "new" and node.get("class") and not open_call:
         return {"kind": "instance", "class": node["class"], "args": fold_args(node["args"], bindings, "constructor arg")}
+    # What no case above reads may still have one constant value by its type.
     return {"kind": "scalar", "value": node["v"]} if "v" in node else None
 
 

@@ -55,6 +55,13 @@ def of_intersection(classes: Column) -> Column:
     return F.when(F.size(kept) == 0, no_guard()).otherwise(F.array(kept))
 
 
+def of_type(t: Column) -> Column:
+    """The guard that a type (JSON) is: a class requires itself; a type that is none claims nothing."""
+    kind, fqcn = F.get_json_object(t, "$.kind"), lambda m: F.when(F.get_json_object(m, "$.kind") == "class", F.get_json_object(m, "$.fqcn"))
+    classes = F.transform(F.from_json(F.get_json_object(t, "$.members"), "array<string>"), fqcn)
+    return F.when(kind == "class", F.array(F.array(fqcn(t)))).when(kind == "union", of_union(classes)).when(kind == "intersection", of_intersection(classes)).otherwise(no_guard())
+
+
 def _dnf(node: dict | None) -> list[list[str]]:
     kind = (node or {}).get("op")
     if kind == "instanceof":

@@ -301,7 +301,7 @@ def bind_member(fields: Column, provenance: Column, key: Column, literal: Column
     replaces it, and an argument that surely renders clears the optional flag.
     """
     pinned = F.when(literal.isNotNull(), replace_field_type(fields, key, dtype.literal(literal))).otherwise(fields)
-    settled = F.when(_yes(renders) | literal.isNotNull(), settle_field(pinned, key)).otherwise(pinned)
+    settled = F.when(_yes(renders), settle_field(pinned, key)).otherwise(pinned)
     rest = F.map_filter(provenance, lambda k, _: k != key)
     moved = F.when(literal.isNull() & rehomed.isNotNull(), F.map_concat(rest, F.create_map(key, rehomed))).otherwise(rest)
     return settled, moved

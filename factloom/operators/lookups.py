@@ -232,12 +232,17 @@ def parameter_names(params: DataFrame) -> DataFrame:
     return params.groupBy("class", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda p: p["name"]).alias("names"))
 
 
-def harvest_returns(methods: DataFrame, return_sites: DataFrame, exprs: DataFrame) -> DataFrame:
-    """A row for each return statement of the methods, in order, with its type and place; a bare return is void."""
+def return_rows(methods: DataFrame, return_sites: DataFrame) -> DataFrame:
+    """A row for each return statement of the methods, with its expression and place."""
     sites = return_sites.select(F.col("class").alias("rc"), F.col("method").alias("rm"), F.col("file").alias("rf"), "ord", "pos", "line", "expr_id")
     on = F.col("class").eqNullSafe(F.col("rc")) & (F.col("method") == F.col("rm")) & (F.col("file") == F.col("rf"))
+    return methods.join(sites, on).select("class", "method", "file", "ord", "pos", "line", "expr_id")
+
+
+def harvest_returns(methods: DataFrame, return_sites: DataFrame, exprs: DataFrame) -> DataFrame:
+    """A row for each return statement of the methods, in order, with its type and place; a bare return is void."""
     types = exprs.select(F.col("expr_id").alias("ee"), "type_json")
-    typed = methods.join(sites, on).join(types, F.col("expr_id") == F.col("ee"), "left")
+    typed = return_rows(methods, return_sites).join(types, F.col("expr_id") == F.col("ee"), "left")
     kind = F.when(F.col("expr_id").isNull(), dtype.void_type()).otherwise(F.coalesce("type_json", dtype.unknown("unresolved type")))
     return typed.select("class", "method", "file", "ord", "pos", "line", kind.alias("type"))
 

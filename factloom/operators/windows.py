@@ -78,9 +78,9 @@ def stamp_entry(sites: DataFrame, entries: DataFrame, keys: list[str]) -> DataFr
     return out.withColumn("component", F.coalesce("own", "component")).drop("own", *[f"e_{k}" for k in keys])
 
 
-def arms_of(sites: DataFrame) -> DataFrame:
-    """A site whose value is a match is a site for each arm, with the arm's place, type and guard; the default's guard is empty."""
-    arm = sites.where("arms is not null").select(*[c for c in sites.columns if c not in ("arms", "pos", "type", "guard", "ord")], F.posexplode("arms").alias("arm_at", "arm"), "ord")
-    arm = arm.withColumn("pos", F.col("arm.pos")).withColumn("type", F.col("arm.type")).withColumn("guard", F.when(F.col("arm.is_default"), guards.no_guard()).otherwise(F.col("arm.guard")))
+def arms_of(sites: DataFrame, value: str = "type") -> DataFrame:
+    """A site whose value is a match is a site for each arm, with the arm's place, value and guard; the default's guard is empty."""
+    arm = sites.where("arms is not null").select(*[c for c in sites.columns if c not in ("arms", "pos", value, "guard", "ord")], F.posexplode("arms").alias("arm_at", "arm"), "ord")
+    arm = arm.withColumn("pos", F.col("arm.pos")).withColumn(value, F.col(f"arm.{value}")).withColumn("guard", F.when(F.col("arm.is_default"), guards.no_guard()).otherwise(F.col("arm.guard")))
     plain = sites.where("arms is null").withColumn("arm_at", F.lit(-1)).drop("arms")
     return plain.unionByName(arm.drop("arm"))

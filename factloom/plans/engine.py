@@ -2,7 +2,7 @@
 
 ``Engine`` takes the fact tables and answers: what an action returns and throws
 (``analyze_actions``), which site of a callable serves a narrowed type
-(``analyze_callables``), what shape a class exposes (``class_metadata``) and
+(``analyze_callable_refs``, or ``analyze_callables`` for ready sites), what shape a class exposes (``class_metadata``) and
 what a trace visits (``trace``). Every answer carries the files it came from;
 what cannot be known is an explicit unknown with a reason or a diagnostic.
 """
@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import registry as reg
-from ..functions import dtype, scalars
+from ..functions import dtype, guards, scalars
 from ..operators import aggregates, graph, lookups, windows
+from . import shapes
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,9 @@ class EngineConfig:
         """Throws and traces follow the descend roots, shapes the prime roots."""
         return F.array(*[F.lit(r) for r in self.descend_roots])
 
+    def shape_roots(self) -> F.Column:
+        return F.array(*[F.lit(r) for r in self.prime_roots])
+
 
 def _method_key(cls: str = "class", method: str = "method") -> F.Column:
     return F.coalesce(scalars.scope_key(F.col(cls), F.col(method)), F.col(method))
@@ -43,6 +47,7 @@ def _method_key(cls: str = "class", method: str = "method") -> F.Column:
 class Engine:
     def __init__(self, spark: SparkSession, facts: dict[str, DataFrame], config: EngineConfig | None = None):
         self.spark, self.facts, self.config = spark, facts, config or EngineConfig()
+        self._shapes: shapes.ShapeFacts | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, facts: dict[str, DataFrame], config: EngineConfig | None = None) -> Engine:
@@ -88,6 +93,22 @@ class Engine:
         kept = aggregates.dedupe_throws(found, ["entry"], rank, ["order"])
         return kept.withColumn("place", aggregates.result_order(["entry"])).drop("order")
 
+    # -------------------------------------------------------- shapes
+
+    def shapes(self) -> shapes.ShapeFacts:
+        if self._shapes is None:
+            self._shapes = shapes.ShapeFacts(self.facts, self.config.shape_roots())
+        return self._shapes
+
+    def typed_sites(self, sites: DataFrame) -> DataFrame:
+        """sites(entry, ord, expr_id, ...) with type, component, truncations and files, shapes recovered through project callees."""
+        sites = graph.checkpoint(sites)
+        refined = shapes.refine_sites(self.shapes(), sites.select("entry", "ord", "expr_id"), self.config.trace_depth, self.config.file_budget)
+        return graph.checkpoint(shapes.site_types(sites, refined, self.shapes().exprs))
+
+    def _truncated(self, typed: DataFrame) -> DataFrame:
+        return aggregates.truncation_diagnostics(typed.groupBy("entry").agg(F.sum("truncations").alias("truncations")), ["entry"])
+
     # -------------------------------------------------------- actions
 
     def analyze_actions(self, actions: DataFrame) -> dict[str, DataFrame]:
@@ -96,12 +117,13 @@ class Engine:
         located = actions.join(f["methods"].select(F.col("class").alias("mc"), F.col("method").alias("mm"), F.col("file").alias("mf")), (F.col("class").eqNullSafe(F.col("mc"))) & (F.col("method") == F.col("mm")) & (F.col("file") == F.col("mf")), "left")
         missing = located.where("mm is null").select(_method_key().alias("entry"), F.lit("Warning").alias("severity"), F.lit("inference.method-not-found").alias("code"), F.lit("no analysable body").alias("message"))
         here = located.where("mm is not null").select("class", "method", "file")
-        returns = lookups.harvest_returns(here, f["return_sites"], f["exprs"]).select(_method_key().alias("entry"), "ord", "type", "file", "line")
+        typed = self.typed_sites(lookups.return_rows(here, f["return_sites"]).select(_method_key().alias("entry"), "ord", "expr_id", "file", "line"))
+        returns = typed.select("entry", "ord", "type", "file", "line", "component")
         throws = self.throws(here)
         explained = self.points_explained(here)
         dropped = aggregates.dropped_count(explained, ["entry"]).where("dropped > 0").select("entry", F.lit("Hint").alias("severity"), F.lit("inference.throw-noise-dropped").alias("code"), F.concat(F.col("dropped").cast("string"), F.lit(" throw points explained by nothing")).alias("message"))
-        files = here.select(_method_key().alias("entry"), "file").unionByName(throws.select("entry", F.explode("chain").alias("c")).select("entry", F.col("c.file").alias("file")))
-        return {"returns": returns, "throws": throws, "diagnostics": missing.unionByName(dropped), "lineage": aggregates.lineage(files.where("file is not null"), ["entry"])}
+        files = here.select(_method_key().alias("entry"), "file").unionByName(typed.select("entry", F.explode("files").alias("file"))).unionByName(throws.select("entry", F.explode("chain").alias("c")).select("entry", F.col("c.file").alias("file")))
+        return {"returns": returns, "throws": throws, "diagnostics": missing.unionByName(dropped).unionByName(self._truncated(typed)), "lineage": aggregates.lineage(files.where("file is not null"), ["entry"])}
 
     def points_explained(self, entries: DataFrame) -> DataFrame:
         """A2's input: the entries' own throw points and whether a registry entry or a read body explains each."""
@@ -127,6 +149,40 @@ class Engine:
         chosen = windows.choose_site(live, ["callable"], [scalars.source_order(F.col("pos")), F.col("ord")])
         return windows.ambiguity(live, chosen, ["callable"]).unionByName(open_)
 
+    def analyze_callable_refs(self, callables: DataFrame) -> dict[str, DataFrame]:
+        """returns, diagnostics and lineage of callables(callable, class, method, file, line, narrowed).
+
+        A callable without a method is the closure at its line. With a narrowed
+        class, the one site that serves it is returned; else all are.
+        """
+        f = self.facts
+        m = f["methods"].select(F.col("class").alias("mc"), F.col("method").alias("mm"), F.col("file").alias("mf"), F.lit(True).alias("found"))
+        c = f["closures"].select(F.col("file").alias("cf"), F.col("line").alias("cl"), F.lit(True).alias("closed"))
+        at = callables.join(m, F.col("class").eqNullSafe(F.col("mc")) & (F.col("method") == F.col("mm")) & (F.col("file") == F.col("mf")), "left")
+        at = at.join(c, F.col("method").isNull() & (F.col("file") == F.col("cf")) & (F.col("line") == F.col("cl")), "left")
+        at = at.withColumn("body", F.coalesce("mm", F.when(F.col("closed"), F.concat(F.lit("{closure}:"), F.col("line").cast("string")))))
+        missing = at.where("body is null").select("callable", F.lit("Info").alias("severity"), F.lit("inference.callable-not-found").alias("code"), F.lit("no analysable body").alias("message"))
+        here = at.where("body is not null").select("callable", "class", "method", "file", "narrowed", "body")
+        rows = f["return_sites"].select(F.col("class").alias("rc"), F.col("method").alias("rm"), F.col("file").alias("rf"), "ord", "pos", "expr_id", "narrowed_type_json")
+        sites = here.join(rows, F.col("class").eqNullSafe(F.col("rc")) & (F.col("body") == F.col("rm")) & (F.col("file") == F.col("rf")))
+        arm = F.struct("ord", "pos", F.col("body_expr_id").alias("expr_id"), "is_default", F.coalesce("cond_dnf", guards.no_guard()).alias("guard"))
+        arms = f["match_arms"].groupBy(F.col("expr_id").alias("match_id")).agg(F.array_sort(F.collect_list(arm)).alias("arms"))
+        sites = sites.join(arms, F.col("narrowed").isNotNull() & (F.col("expr_id") == F.col("match_id")), "left")
+        sites = sites.withColumn("guard", F.when(F.col("narrowed").isNotNull(), guards.of_type(F.col("narrowed_type_json"))).otherwise(guards.no_guard()))
+        sites = windows.arms_of(sites.select("callable", "class", "method", "narrowed", "ord", "pos", "expr_id", "guard", "arms"), "expr_id")
+        place = F.row_number().over(Window.partitionBy("callable").orderBy("ord", "arm_at")).cast("int")
+        typed = self.typed_sites(sites.withColumn("ord", place).withColumnRenamed("callable", "entry"))
+        supers = f["class_closure"].groupBy(F.col("sub").alias("s_sub")).agg(F.collect_set("super").alias("supers"))
+        ready = typed.join(supers, F.col("narrowed") == F.col("s_sub"), "left").select(F.col("entry").alias("callable"), "pos", "ord", "type", "component", "guard", dtype.is_delegation(F.col("type")).alias("delegates"), "narrowed", F.coalesce("supers", F.array().cast("array<string>")).alias("supers"))
+        own = lookups.attribute_on(f["attributes"], shapes.COMPONENT).select(F.col("class").alias("oc"), F.col("method").alias("om"), "component")
+        named = here.join(own, (F.col("class") == F.col("oc")) & (F.col("method") == F.col("om"))).select("callable", "component")
+        chosen = windows.stamp_entry(self.analyze_callables(ready), named, ["callable"])
+        unsure = chosen.where("ambiguous").select("callable", F.lit("Info").alias("severity"), F.lit("inference.ambiguous-narrowing").alias("code"), F.concat(F.lit("more than one return site is reachable for "), F.col("narrowed")).alias("message"))
+        written = lookups.file_for(here.select("callable", "class", "method", "file"), f["class_methods"])
+        files = written.select("callable", F.explode(F.array_compact(F.array("file", "written_in_file"))).alias("file")).unionByName(typed.select(F.col("entry").alias("callable"), F.explode("files").alias("file")))
+        cut = self._truncated(typed).withColumnRenamed("entry", "callable")
+        return {"returns": chosen.select("callable", "ord", "type", "component"), "diagnostics": missing.unionByName(unsure).unionByName(cut), "lineage": aggregates.lineage(files, ["callable"])}
+
     # -------------------------------------------------------- classes and traces
 
     def class_metadata(self, requests: DataFrame) -> DataFrame:

@@ -1,4 +1,13 @@
-"""Schemas of the fact tables an extractor supplies (Spark DDL)."""
+"""Schemas of the fact tables an extractor supplies (Spark DDL).
+
+Ids of calls and of ``new`` expressions in ``calls`` and ``args`` are those of
+their rows in ``exprs``. Edges of ``expr_edges`` carry the child's role:
+``receiver`` of a method call, ``operand`` that can be the parent's value.
+``match_arms.cond_dnf`` is the guard of the arm on the parameter that a callable
+narrows, ``return_sites.narrowed_type_json`` that parameter's type at the return.
+A class constant has its class in ``prop`` and its name in ``member``. The body
+of a closure is the method ``{closure}:LINE`` without a class.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +25,8 @@ FACTS: dict[str, str] = {
     "return_sites": "file string, class string, method string, ord int, pos long, line int, expr_id long, narrowed_type_json string",
     "match_arms": "expr_id long, ord int, cond_dnf array<array<string>>, is_default boolean, body_expr_id long, pos long",
     "throw_points": "file string, class string, method string, ord int, line int, is_literal boolean, explicit boolean, types array<string>, call_id long",
-    "local_writes": "file string, scope_key string, var string, ord int, expr_id long, retires boolean, opaque boolean",
+    "local_writes": "file string, scope_key string, var string, ord int, expr_id long, retires boolean, opaque boolean, pos long",
+    "array_items": "expr_id long, ord int, key string, value_expr long",
     "header_writes": "file string, class string, method string, var string, pos long, header string, value string",
     "enum_cases": "enum string, ord int, case string, value string",
     "attributes": "class string, method string, ord int, name string, arg0 string, file string, line int",

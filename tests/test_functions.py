@@ -126,22 +126,32 @@ def test_constant_folding():
     var = lambda n: {"t": "var", "name": n}
     lit = lambda v: {"t": "lit", "v": v}
     arg = lambda v, **k: {"value": v, **k}
-    static = lambda *a, **k: {"t": "static", "class": "App\\AllowedFilter", "name": "exact", "args": list(a), **k}
+    static = lambda *a, **k: {"t": "static", "class": "Shop\\Rule", "name": "between", "args": list(a), **k}
     show = lambda n, b=None: (c := folding.fold(n, b or {})) and folding.render(c)
     s = lambda v: {"kind": "scalar", "value": v}
-    assert show(static(arg(var("k")), arg(var("c"))), {"k": s("status"), "c": s("status_code")}) == "AllowedFilter::exact('status', 'status_code')"
-    assert show({"t": "array", "items": [arg({"t": "method", "var": static(arg(var("k"))), "name": "default", "args": [arg(var("f"))]})]}, {"k": s("status"), "f": s("open")}) == "[AllowedFilter::exact('status')->default('open')]"
-    assert show(static(arg(var("k")))) == "AllowedFilter::exact(<unknown: non-constant factory arg>)"
+    assert show(static(arg(var("low")), arg(var("high"))), {"low": s(2), "high": s("nine")}) == "Rule::between(2, 'nine')"
+    assert show({"t": "array", "items": [arg({"t": "method", "var": static(arg(var("low"))), "name": "orElse", "args": [arg(var("d"))]})]}, {"low": s(2), "d": s(True)}) == "[Rule::between(2)->orElse(true)]"
+    assert show(static(arg(var("low")))) == "Rule::between(<unknown: non-constant factory arg>)"
     assert show(static(callable=True)) is None
-    assert show(static(arg(lit("any")), arg(var("rest"), unpack=True))) == "AllowedFilter::exact('any', ...<unplaceable factory arg>)"
-    assert show(static(arg(lit("any")), arg(var("rest"), name="values"))) == "AllowedFilter::exact('any', ...<unplaceable factory arg>)"
-    assert show(static(arg(lit("any")), arg({"t": "array", "items": [arg(lit("open")), arg(lit("closed"))]}, unpack=True))) == "AllowedFilter::exact('any', 'open', 'closed')"
-    assert show({"t": "array", "items": [arg(lit("open")), arg(var("r"), unpack=True), arg(lit("closed"))]}) == "['open', ...<spread array item>, 'closed']"
-    assert show({"t": "const", "class": "S", "name": "Active", "enum": True}) == "'Active'"
-    assert show({"t": "new", "class": "Search", "args": [arg(lit("t"))]}) == "new Search('t')"
+    assert show(static(arg(lit(1)), arg(var("more"), unpack=True))) == "Rule::between(1, ...<unplaceable factory arg>)"
+    assert show(static(arg(lit(1)), arg(var("more"), name="steps"))) == "Rule::between(1, ...<unplaceable factory arg>)"
+    assert show(static(arg(lit(1)), arg({"t": "array", "items": [arg(lit(5)), arg(lit("x"))]}, unpack=True))) == "Rule::between(1, 5, 'x')"
+    assert show({"t": "array", "items": [arg(lit("a")), arg(var("r"), unpack=True), arg(lit("b"))]}) == "['a', ...<spread array item>, 'b']"
+    assert show({"t": "const", "class": "Size", "name": "Large", "enum": True}) == "'Large'"
+    assert show({"t": "new", "class": "Shop\\Page", "args": [arg(lit("t"))]}) == "new Page('t')"
     assert folding.fold(lit(None), {}) == {"kind": "scalar", "value": None}
 
 
+def test_folding_falls_through_to_the_constant_of_the_type():
+    """An unbound variable, an open call and a call on what is no descriptor have one constant value by their type at most."""
+    seven = {"kind": "scalar", "value": 7}
+    var, static = {"t": "var", "name": "x", "v": 7}, {"t": "static", "class": "C", "name": "m", "args": [], "callable": True, "v": 7}
+    method = {"t": "method", "var": {"t": "lit", "v": 1}, "name": "m", "args": [], "v": 7}
+    assert [folding.fold(n, {}) for n in (var, static, method, {**method, "callable": True}, {"t": "new", "class": "C", "args": [], "callable": True, "v": 7})] == [seven] * 5
+    assert folding.fold(var, {"x": {"kind": "scalar", "value": None}}) == {"kind": "scalar", "value": None}
+    assert folding.fold({"t": "var", "name": "x"}, {}) is None
+
+
 def test_folded_null_is_not_unfolded(spark):
     a, b = one(spark, folding.scalar_fold(strings("null")), folding.scalar_fold(strings()))
     assert a is not None and a["v"] is None and b is None
@@ -187,7 +197,7 @@ def test_members(spark):
     fields = F.array(F.struct(F.lit("a").alias("key"), dtype.scalar("int").alias("type"), F.lit(True).alias("optional")), F.struct(F.lit("b").alias("key"), dtype.scalar("int").alias("type"), F.lit(True).alias("optional")))
     acc = F.struct(F.lit("p").alias("param"), F.lit("Identity").alias("kind"), F.lit(None).cast("string").alias("method"))
     prov = F.create_map(F.lit("a"), acc)
-    f, p = scalars.bind_member(fields, prov, F.lit("a"), F.lit('"x"'), F.lit(None).cast(scalars.ACCESSOR), F.lit(False))
+    f, p = scalars.bind_member(fields, prov, F.lit("a"), F.lit('"x"'), F.lit(None).cast(scalars.ACCESSOR), F.lit(True))
     got = one(spark, f, p, scalars.mark_status_members(fields, prov, acc), scalars.without_member(fields, F.lit("a")))
     assert json.loads(got[0][0]["type"]) == {"kind": "literal", "value": "x"} and got[0][0]["optional"] is False and got[0][1]["optional"] is True
     assert got[1] == {} and json.loads(got[2][0]["type"])["kind"] == "status_marker" and [x["key"] for x in got[3]] == ["b"]
