@@ -258,9 +258,9 @@ def accessor(kind: Column, var: Column, member: Column, n_args: Column) -> Colum
 
 def provenance_from_array(items: Column) -> Column:
     """Map of literal string keys to accessors (array<struct<key, accessor>>); of equal keys the last wins."""
-    named = F.filter(items, lambda i: i["key"].isNotNull() & i["accessor"].isNotNull())
-    last = F.filter(named, lambda i: ~F.exists(F.filter(F.transform(named, lambda x, k: F.struct(x["key"].alias("key"), k.alias("at"))), lambda x: x["key"] == i["key"]), lambda x: x["at"] > F.array_position(named, i) - 1))
-    return F.map_from_entries(F.array_distinct(F.transform(last, lambda i: F.struct(i["key"], i["accessor"]))))
+    named = F.transform(F.filter(items, lambda i: i["key"].isNotNull() & i["accessor"].isNotNull()), lambda i, k: F.struct(i["key"].alias("key"), i["accessor"].alias("accessor"), k.alias("at")))
+    last = F.filter(named, lambda i: ~F.exists(named, lambda x: (x["key"] == i["key"]) & (x["at"] > i["at"])))
+    return F.map_from_entries(F.transform(last, lambda i: F.struct(i["key"], i["accessor"])))
 
 
 def fold_accessor_argument(kind: Column, literal: Column, sensitive: Column, backing: Column, case: Column, method: Column) -> Column:

@@ -77,16 +77,18 @@ def argument_slots(args: DataFrame, params: DataFrame) -> DataFrame:
 
     ``args(call_id, ord, name, unpack, expr_id)``, ``params(call_id, idx, param)``.
     A named argument binds by name, a positional one by place before any spread;
-    an unbound parameter is known absent only if the call has no spread.
+    an unbound parameter is known absent only if the call has no spread. A call's
+    arguments, as many as its source writes, are one ordered array, so arguments
+    and parameters cross one shuffle each.
     """
-    seen = before_spread(args, ["call_id"])
-    place = F.sum(F.when(F.col("name").isNull() & ~F.col("spread_before"), 1).otherwise(0)).over(Window.partitionBy("call_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    placed = seen.withColumn("place", F.when(F.col("name").isNull() & ~F.col("spread_before"), place))
-    positional = placed.where("place is not null").select(F.col("call_id").alias("pc"), "place", F.struct("expr_id").alias("p"))
-    named = placed.where("name is not null").groupBy(F.col("call_id").alias("nc"), F.col("name").alias("n_name")).agg(F.min_by(F.struct("expr_id"), "ord").alias("n"))
-    spread = seen.groupBy(F.col("call_id").alias("sc")).agg(F.max("spread_before").alias("spread"))
-    out = params.join(positional, (F.col("call_id") == F.col("pc")) & (F.col("idx") == F.col("place")), "left").join(named, (F.col("call_id") == F.col("nc")) & (F.col("param") == F.col("n_name")), "left").join(spread, F.col("call_id") == F.col("sc"), "left")
-    bound = F.coalesce("n", "p")
+    arg = F.struct("ord", "name", F.coalesce("unpack", F.lit(False)).alias("unpack"), F.struct("expr_id").alias("bound"))
+    listed = args.groupBy(F.col("call_id").alias("l_call")).agg(F.array_sort(F.collect_list(arg)).alias("list"))
+    spread = F.array_position(F.transform("list", lambda a: a["unpack"]), True)
+    head = F.when(spread > 0, F.slice("list", F.lit(1), (spread - 1).cast("int"))).otherwise(F.col("list"))
+    listed = listed.select("l_call", "list", (spread > 0).alias("spread"), F.filter(head, lambda a: a["name"].isNull()).alias("positional"))
+    out = params.join(listed, F.col("call_id") == F.col("l_call"), "left")
+    named = F.get(F.filter("list", lambda a: a["name"] == F.col("param")), F.lit(0))["bound"]
+    bound = F.coalesce(named, F.get("positional", F.col("idx").cast("int"))["bound"])
     return out.select("call_id", "idx", "param", bound["expr_id"].alias("expr_id"), bound.isNotNull().alias("present"), (bound.isNotNull() | ~F.coalesce("spread", F.lit(False))).alias("known"))
 
 
