@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import scalars
 from ..schemas import FACTS
 
 
@@ -41,25 +44,40 @@ def snapshot_id(files: DataFrame) -> int:
 class FactCache:
     """Derived tables kept while the snapshot they were made from is current.
 
-    A changed stamp drops everything, as a full cache does; Spark itself evicts
-    and spills blocks, so only the number of kept tables is bounded.
+    A changed stamp drops everything. So does a table that would take the kept
+    rows above ``most_rows``: no part of what is kept outlives a full cache. A
+    table larger than that is made and not kept. Tables that are made while
+    another is being made are not kept either, for the other holds their rows.
     """
 
-    def __init__(self, most: int = 64):
-        self.most, self.stamp, self.kept = most, None, {}
+    def __init__(self, most_rows: int = 100_000):
+        self.most_rows, self.stamp, self.kept, self.rows, self.making = most_rows, None, {}, 0, False
 
-    def get(self, stamp: int, name: str, make) -> DataFrame:
-        if stamp != self.stamp or (name not in self.kept and len(self.kept) >= self.most):
+    def get(self, stamp: int, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if stamp != self.stamp:
             self.clear()
             self.stamp = stamp
-        if name not in self.kept:
-            self.kept[name] = make().persist()
-        return self.kept[name]
+        if name in self.kept:
+            return self.kept[name]
+        if self.making:
+            return make()
+        self.making = True
+        try:
+            df = make().persist()
+            n = df.count()
+        finally:
+            self.making = False
+        if self.rows + n > self.most_rows:
+            self.clear()
+        if n > self.most_rows:
+            return df.unpersist()
+        self.kept[name], self.rows = df, self.rows + n
+        return df
 
     def clear(self) -> None:
         for df in self.kept.values():
             df.unpersist()
-        self.kept = {}
+        self.kept, self.rows = {}, 0
 
 
 def harvest(nodes: DataFrame) -> dict[str, DataFrame]:
@@ -99,13 +117,42 @@ def metadata_for(requests: DataFrame, properties: DataFrame) -> DataFrame:
     return requests.distinct().join(p, F.col("class") == F.col("pc"), "left").select("class", F.coalesce("props", empty).alias("props"))
 
 
-def config_sink(entries: DataFrame) -> DataFrame:
-    """Lines of a generated configuration, sections in order and sorted within: (section, value) rows."""
-    from ..functions import scalars
+#: Sections of a generated configuration, in order.
+CONFIG_SECTIONS = ("includes", "stubFiles", "services", "parameters")
+
 
-    return entries.distinct().orderBy("section", "value").select("section", F.concat(F.lit("- "), scalars.neon_string(F.col("value"))).alias("line"))
+def stub_files(spark: SparkSession, path: str) -> DataFrame:
+    """The signature files of a folder, sorted."""
+    return discover_files(spark, path, "*.stub")
 
 
-def live(column: Column) -> Column:
-    """Facts are settled when they are written, so a replayed value is the live one."""
-    return column
+def config_sink(entries: DataFrame) -> DataFrame:
+    """Lines of a generated configuration from (section, value) rows, each once: sections in order, values sorted within.
+
+    Values of ``stubFiles`` are sorted by name, user configuration comes first among ``includes``.
+    """
+    place = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in CONFIG_SECTIONS]), F.col("section")).cast("int"), F.lit(0))
+    place = F.when(place == 0, len(CONFIG_SECTIONS) + 1).otherwise(place)
+    rows = entries.where("value is not null").select("section", "value").distinct()
+    return rows.withColumn("place", place).orderBy("place", "section", "value").select("section", "place", F.concat(F.lit("- "), scalars.neon_string(F.col("value"))).alias("line"))
+
+
+def write_config(entries: DataFrame, path: str) -> None:
+    """The configuration as one text file in the folder ``path``, a section's name before its lines."""
+    lines = config_sink(entries)
+    heads = lines.select("section", "place").distinct().select("place", "section", F.lit(0).alias("at"), F.concat("section", F.lit(":")).alias("value"))
+    rows = heads.unionByName(lines.select("place", "section", F.lit(1).alias("at"), F.concat(F.lit("    "), F.col("line")).alias("value")))
+    rows.coalesce(1).sortWithinPartitions("place", "section", "at", "value").select("value").write.mode("overwrite").text(path)
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """(section, value) rows of a configuration of that form; none if the file is missing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "section string, value string")
+    # A configuration is one small file, so its lines have one order.
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    head = F.when(F.col("line").rlike("^[^ ].*:$"), F.regexp_extract("line", "^(.*):$", 1))
+    rows = lines.withColumn("section", F.last(head, ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("at")))
+    text = F.regexp_extract("line", "^    - '(.*)'$", 1)
+    return rows.where(F.col("line").startswith("    - ")).select("section", F.replace(text, F.lit("''"), F.lit("'")).alias("value"))
