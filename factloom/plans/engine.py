@@ -9,6 +9,7 @@ what cannot be known is an explicit unknown with a reason or a diagnostic.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -186,16 +187,87 @@ class Engine:
     # -------------------------------------------------------- classes and traces
 
     def class_metadata(self, requests: DataFrame) -> DataFrame:
-        """Ordered properties of each requested class, types by native declaration and doc comment."""
+        """Ordered properties of each requested class, types by native declaration and doc comment, and the files these rest on."""
         from ..sources import facts as sources
 
-        props = aggregates.class_properties(self.facts["properties"])
+        f = self.facts
+        props = aggregates.class_properties(f["properties"])
         kind = dtype.property_type(F.col("native_type_json"), F.when(F.col("is_promoted"), F.col("param_type_json")), F.col("var_type_json"))
-        return sources.metadata_for(requests, props.withColumn("type", kind))
+        typed = props.withColumn("type", kind)
+        files = f["classes"].select("class", "file") if "classes" in f else self.spark.createDataFrame([], "class string, file string")
+        above = f["class_closure"].select("sub", "super") if "class_closure" in f else self.spark.createDataFrame([], "sub string, super string")
+        names = requests.select("class").distinct()
+        # Enums at any depth of a type: their names stand in its text, with escaped backslashes.
+        enums = typed.select("class", F.explode(F.regexp_extract_all("type", F.lit('"kind":"enum","fqcn":"([^"]+)"'), F.lit(1))).alias("enum")).withColumn("enum", F.replace("enum", F.lit("\\\\"), F.lit("\\"))).distinct()
+        hierarchy = names.select(F.col("class").alias("sub"), F.col("class").alias("super")).union(above)
+        deps = aggregates.class_dependencies(hierarchy, enums, files).select(F.col("class").alias("dep_class"), F.col("files").alias("dep_files"))
+        out = sources.metadata_for(requests, typed).join(deps, F.col("class") == F.col("dep_class"), "left")
+        return out.select("class", "props", F.coalesce("dep_files", F.array().cast("array<string>")).alias("files"))
 
     def trace(self, roots: DataFrame, edges: DataFrame) -> DataFrame:
         return graph.trace(roots, edges, self.config.trace_depth, self.config.file_budget)
 
+    def nodes(self) -> DataFrame:
+        """The nodes a visitor sees: expr_id, class, method, kind, type, constant, and for calls file, pos and callee_name."""
+        f = self.facts
+        calls = f["calls"].where("not is_first_class").select(F.col("call_id").alias("nc"), "file", "pos", "callee_name", F.col("line").alias("call_line"))
+        places = calls.select(F.col("nc").alias("expr_id"), F.lit(None).cast("string").alias("trait_file"), F.col("file").alias("scope_file"), "pos", F.col("call_line").alias("line"))
+        seen = lookups.node_view(f["exprs"], places).withColumnRenamed("expr_id", "v_id")
+        rows = f["exprs"].select("expr_id", F.col("scope_class").alias("class"), F.col("scope_fn").alias("method"), "kind", "member", "var_name")
+        return rows.join(seen, F.col("expr_id") == F.col("v_id")).join(calls, F.col("expr_id") == F.col("nc"), "left").drop("v_id", "nc", "call_line")
+
+    def trace_visitor(self, actions: DataFrame, visitor: Callable[[DataFrame], DataFrame], follows: Callable[[F.Column], F.Column] | None = None) -> dict[str, DataFrame]:
+        """The methods a visitor walks from each action, and the nodes it meets there.
+
+        ``visitor`` gets the nodes and returns expr_id and ``descend``, whether it
+        asks to follow that call; the engine follows into project files, and beyond
+        them but not into vendor files where ``follows`` accepts the call's type.
+        """
+        f, config = self.facts, self.config
+        asked = visitor(self.nodes()).where("descend").select(F.col("expr_id").alias("q_id"))
+        calls = f["calls"].where("not is_first_class").join(asked, F.col("call_id") == F.col("q_id"), "left_semi")
+        callees = lookups.resolve_callees(calls, f["class_methods"]).withColumnRenamed("call_id", "c_id")
+        types = f["exprs"].select(F.col("expr_id").alias("t_id"), "type_json")
+        step = calls.join(callees, F.col("call_id") == F.col("c_id")).join(types, F.col("call_id") == F.col("t_id"), "left")
+        accepts = F.lit(False) if follows is None else follows(F.col("type_json"))
+        beyond = scalars.follow_beyond_project(F.lit(follows is not None), F.col("callee_file"), F.lit(config.vendor_root).cast("string"), accepts)
+        step = step.where(scalars.is_project_file(F.col("callee_file"), config.roots()) | beyond)
+        edges = step.select(_method_key().alias("src"), _method_key("callee_class", "callee_method").alias("dst"), F.col("callee_file").alias("dst_file"), F.col("pos"), F.col("call_id").alias("ord"))
+        # Callees in order of their first call.
+        edges = windows.descend_order(edges, ["src"], ["dst", "dst_file"]).select("src", "dst", "dst_file", F.col("place").alias("pos"), F.lit(0).alias("ord"))
+        visits = self.trace(actions.select(_method_key().alias("root"), F.col("file").alias("root_file")), edges)
+        met = self.nodes().withColumn("owner", _method_key())
+        nodes = visits.join(met, F.col("node") == F.col("owner")).drop("owner")
+        files = f["methods"].select(_method_key().alias("mk"), F.col("file").alias("mfile"))
+        lineage = visits.join(files, F.col("node") == F.col("mk")).select("root", F.col("mfile").alias("file"))
+        return {"visits": visits, "nodes": nodes, "lineage": aggregates.lineage(lineage, ["root"])}
+
+    def folded_calls(self, requests: DataFrame, follows: Callable[[F.Column], F.Column] | None = None) -> DataFrame:
+        """requests(trace, ord, call_id) each answered once with the constant that its call returns, as JSON; null where none is known.
+
+        A callee folds if its body always returns, by one return only: to the
+        constant of its expression, or to what the call binds to the parameter it returns.
+        """
+        f, config = self.facts, self.config
+        calls = f["calls"].where("not is_first_class")
+        callees = lookups.resolve_callees(calls, f["class_methods"]).withColumnRenamed("call_id", "c_id")
+        types = f["exprs"].select(F.col("expr_id").alias("t_id"), "type_json", F.col("const.v").alias("v"), "var_name")
+        at = calls.join(callees, F.col("call_id") == F.col("c_id")).join(types.select("t_id", "type_json"), F.col("call_id") == F.col("t_id"), "left").drop("t_id")
+        wanted = F.lit(False) if follows is None else follows(F.col("type_json"))
+        at = at.where(scalars.can_fold_callee(F.col("callee_file"), F.col("file"), config.roots(), F.lit(config.vendor_root).cast("string"), wanted))
+        ends = f["methods"].select(F.col("class").alias("mc"), F.col("method").alias("mm"), "always_terminates")
+        single = f["return_sites"].join(ends, F.col("class").eqNullSafe(F.col("mc")) & (F.col("method") == F.col("mm")))
+        single = aggregates.single_terminating(single, ["class", "method"], F.col("always_terminates"), F.col("expr_id")).select(F.col("class").alias("sc"), F.col("method").alias("sm"), F.col("value").alias("r_id"))
+        said = at.join(single, (F.col("callee_class") == F.col("sc")) & (F.col("callee_method") == F.col("sm"))).join(types, F.col("r_id") == F.col("t_id")).select("call_id", "callee_class", "callee_method", "v", "var_name")
+        params = said.join(f["params"].select(F.col("class").alias("pc"), F.col("method").alias("pm"), "idx", F.col("name").alias("param"), "variadic", "default_const"), (F.col("callee_class") == F.col("pc")) & (F.col("callee_method") == F.col("pm"))).select("call_id", "idx", "param", "variadic", "default_const")
+        slots = lookups.argument_slots(f["args"], params).join(types.select(F.col("t_id"), F.col("v").alias("const")), F.col("expr_id") == F.col("t_id"), "left")
+        # A default holds only where no spread may carry the argument (T5).
+        sure = slots.where("known").select(F.col("call_id").alias("k_id"), F.col("idx").alias("k_idx"))
+        sure = params.join(sure, (F.col("call_id") == F.col("k_id")) & (F.col("idx") == F.col("k_idx")), "left").withColumn("default_const", F.when(F.col("k_id").isNotNull(), F.col("default_const"))).drop("k_id", "k_idx")
+        bound = lookups.bindings(sure, slots).select(F.col("call_id").alias("b_id"), F.col("param").alias("b_param"), F.col("value").alias("b_value"))
+        value = said.join(bound, (F.col("call_id") == F.col("b_id")) & (F.col("var_name") == F.col("b_param")), "left").select(F.col("call_id").alias("callee"), F.coalesce("v", "b_value").alias("value")).where("value is not null")
+        return graph.fold_requests(requests.select("trace", "ord", F.col("call_id").alias("callee")), value).withColumnRenamed("callee", "call_id")
+
     def trace_closures(self, requests: DataFrame, returns: DataFrame) -> DataFrame:
         """Returns of the closure at a line: full closures only if they always return; no descent."""
         c = self.facts["closures"].select(F.col("file").alias("cf"), F.col("line").alias("cl"), "always_terminates")

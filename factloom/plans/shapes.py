@@ -84,12 +84,16 @@ class ShapeFacts:
     def __init__(self, f: dict[str, DataFrame], roots: Column):
         self.f, self.roots = f, roots
         self.params = f["params"].select(F.col("class").alias("p_class"), F.col("method").alias("p_method"), "idx", F.col("name").alias("param"), "variadic", "by_ref", "default_const")
-        self.exprs = self._exprs()
-        self.targets = self._targets()
-        self.slots = self._slots()
-        self.callees = lookups.resolve_callees(f["calls"].where("not is_first_class"), f["class_methods"]).where(scalars.is_project_file(F.col("callee_file"), roots))
-        self.members = self._members()
-        self.constructed = self._constructed()
+        # Each is read by every level, so each is made once.
+        self.exprs = graph.checkpoint(self._exprs())
+        self.arguments = graph.checkpoint(self._arguments())
+        self.targets = graph.checkpoint(self._targets())
+        self.slots = graph.checkpoint(self._slots())
+        self.callees = graph.checkpoint(lookups.resolve_callees(f["calls"].where("not is_first_class"), f["class_methods"]).where(scalars.is_project_file(F.col("callee_file"), roots)))
+        self.members = graph.checkpoint(self._members())
+        self.constructed = graph.checkpoint(self._constructed())
+        self.discovered = graph.checkpoint(self._discovered())
+        self.labels = graph.checkpoint(self._labels())
 
     def _exprs(self) -> DataFrame:
         """Expressions with the accessor they are on their function's parameters, and how many arguments they have."""
@@ -150,7 +154,7 @@ class ShapeFacts:
         callees = lookups.resolve_callees(self.f["calls"].where("not is_first_class"), self.f["class_methods"])
         params = callees.join(self.params, (F.col("callee_class") == F.col("p_class")) & (F.col("callee_method") == F.col("p_method"))).select("call_id", "idx", "param")
         bound = lookups.argument_slots(self.f["args"], params)
-        of = self._arguments().withColumnRenamed("expr_id", "a_id")
+        of = self.arguments.withColumnRenamed("expr_id", "a_id")
         rows = bound.join(of, F.col("expr_id") == F.col("a_id"), "left")
         caller = F.when(F.col("accessor.kind") == "Identity", F.col("accessor.param"))
         slot = F.struct("present", "known", "literal", F.coalesce("sensitive", F.lit(False)).alias("sensitive"), caller.alias("caller_param"), "folds", F.coalesce("renders", F.lit(False)).alias("renders"))
@@ -194,7 +198,7 @@ class ShapeFacts:
         new = self.exprs.where("kind = 'new' and not is_response").select("expr_id", "fqcn")
         params = new.join(self.params.where("p_method = '__construct'"), F.col("fqcn") == F.col("p_class")).select(F.col("expr_id").alias("call_id"), "idx", "param")
         named = lookups.constructor_arguments(self.f["args"].join(new.select(F.col("expr_id").alias("w_id")), F.col("call_id") == F.col("w_id"), "left_semi"), params)
-        of = self._arguments().withColumnRenamed("expr_id", "a_id")
+        of = self.arguments.withColumnRenamed("expr_id", "a_id")
         rows = named.join(of, F.col("expr_id") == F.col("a_id"), "left").withColumn("sensitive", F.when(F.col("sensitive"), F.lit("yes")))
         open_ = F.col("literal").isNull() & F.col("sensitive").isNull()
         rows = rows.withColumn("omissible", open_ & F.coalesce("omissible", F.lit(False)))
@@ -203,7 +207,7 @@ class ShapeFacts:
         out = fields.join(read, F.col("call_id") == F.col("r_id"), "left").join(new, F.col("call_id") == F.col("expr_id"))
         return out.select(F.col("call_id").alias("m_id"), F.col("fqcn").alias("m_class"), F.col("fields").cast(f"array<{scalars.FIELD}>").alias("fields"), F.coalesce(F.col("m_provenance").cast(PROVENANCE), F.create_map().cast(PROVENANCE)).alias("m_provenance"))
 
-    def discovered(self) -> DataFrame:
+    def _discovered(self) -> DataFrame:
         """(d_call, d_class, d_fields, d_provenance, d_file, d_slots): members known from a call's receiver, built there or by a factory one hop away."""
         receivers = self.f["expr_edges"].where("role = 'receiver'").select(F.col("parent").alias("d_call"), F.col("child").alias("receiver"))
         here = receivers.join(self.members, F.col("receiver") == F.col("m_id")).select("d_call", F.col("m_class").alias("d_class"), F.col("fields").alias("d_fields"), F.col("m_provenance").alias("d_provenance"), F.lit(None).cast("string").alias("d_file"), F.lit(None).cast(f"map<string,{SLOT}>").alias("d_slots"))
@@ -213,7 +217,7 @@ class ShapeFacts:
         far = first.join(self.slots, F.col("x.receiver") == F.col("slot_call"), "left").select("d_call", "d_class", F.col("x.fields").alias("d_fields"), F.col("x.m_provenance").alias("d_provenance"), F.col("x.callee_file").alias("d_file"), F.coalesce("slots", F.create_map().cast(f"map<string,{SLOT}>")).alias("d_slots"))
         return here.unionByName(far)
 
-    def labels(self) -> DataFrame:
+    def _labels(self) -> DataFrame:
         """(l_class, l_method, l_ord, label): W5, W6 for each return of a variable."""
         r = self.f["return_sites"].join(self.f["exprs"].select(F.col("expr_id").alias("e_id"), F.col("var_name").alias("var"), "kind"), F.col("expr_id") == F.col("e_id")).where("kind = 'variable'")
         key = scalars.scope_key(F.col("class"), F.col("method"))
@@ -235,7 +239,7 @@ def refine_sites(shared: ShapeFacts, sites: DataFrame, depth: int = 4, budget: i
     named = lookups.attribute_on(shared.f["attributes"], COMPONENT).select(F.col("class").alias("n_class"), F.col("method").alias("n_method"), F.col("component").alias("own"))
     t = shared.targets.withColumnRenamed("expr_id", "t_expr")
     callees = shared.callees.join(written, (F.col("callee_class") == F.col("w_class")) & (F.col("callee_method") == F.col("w_method")), "left").join(named, (F.col("callee_class") == F.col("n_class")) & (F.col("callee_method") == F.col("n_method")), "left")
-    callees = callees.select(F.col("call_id").alias("c_call"), "callee_class", "callee_method", "callee_file", "written", "own", F.concat_ws("::", "callee_class", "callee_method").alias("callee"))
+    callees = graph.checkpoint(callees.select(F.col("call_id").alias("c_call"), "callee_class", "callee_method", "callee_file", "written", "own", F.concat_ws("::", "callee_class", "callee_method").alias("callee")))
     levels, visits = [], []
     for d in range(depth + 1):
         e = keyed.join(t, F.col("expr_id") == F.col("t_expr"), "left").withColumn("case", F.when(F.col("expr_id").isNull(), "delegation").otherwise(F.col("case"))).drop("t_expr")
@@ -282,7 +286,7 @@ def _level(shared: ShapeFacts, e: DataFrame, below: DataFrame | None, admitted:
 def _discover(shared: ShapeFacts, rows: DataFrame) -> DataFrame:
     """Members of an object payload that the call's receiver tells, bound through a factory where one built it."""
     kind = F.when(F.col("bound.members").isNull() & (dtype.kind_of(F.col("bound.payload")) == "class"), F.get_json_object("bound.payload", "$.fqcn"))
-    out = rows.withColumn("p_class", kind).join(shared.discovered(), (F.col("target") == F.col("d_call")) & (F.col("p_class") == F.col("d_class")), "left")
+    out = rows.withColumn("p_class", kind).join(shared.discovered, (F.col("target") == F.col("d_call")) & (F.col("p_class") == F.col("d_class")), "left")
     filled = F.col("bound").withField("members", F.col("d_fields")).withField("provenance", F.col("d_provenance"))
     through = F.when(F.col("d_slots").isNotNull(), bind_payload(filled, F.col("d_slots"))).otherwise(filled)
     return out.withColumn("bound", F.when(F.col("d_call").isNotNull(), through).otherwise(F.col("bound")))
@@ -293,7 +297,7 @@ def _first_documentable(shared: ShapeFacts, below: DataFrame) -> DataFrame:
 
     Returns behind the one that speaks are not read, so their truncations and files do not count.
     """
-    rows = below.join(shared.labels(), F.col("ret_class").eqNullSafe(F.col("l_class")) & (F.col("ret_method") == F.col("l_method")) & (F.element_at("order", -1) == F.col("l_ord")), "left")
+    rows = below.join(shared.labels, F.col("ret_class").eqNullSafe(F.col("l_class")) & (F.col("ret_method") == F.col("l_method")) & (F.element_at("order", -1) == F.col("l_ord")), "left")
     labelled = F.col("shape").withField("content_type", lookups.labelled_content_type(F.col("shape.content_type"), F.col("label")))
     rows = rows.withColumn("shape", F.when(F.col("shape").isNotNull() & ~F.col("shape.delegates"), labelled).otherwise(F.col("shape")))
     of = [F.col("entry").alias("b_entry"), F.slice("order", F.lit(1), F.size("order") - 1).alias("b_order")]
