@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import checkpoint
+from .common import checkpoint, map_arrow
 
 ROLES = ("system", "user", "assistant")
 #: Labels that name a role.
@@ -206,7 +206,7 @@ def fit_roles(rows: DataFrame) -> RoleModel:
 
     head = F.regexp_extract("body", r"^\s*(?:<\|(?:im_start\|>)?|#{1,4}|\[)?\s*([A-Za-z]+)\]?\s*(?:\|>|:)", 1)
     known = rows.select("conv", "turn", "alone", "body", F.coalesce(role_of_label(head), "label").alias("label")).where("label is not null")
-    found = {(r[0], r[1]): r[2] for r in known.select("label", "body").mapInArrow(features, "label string, f int, n double").groupBy("label", "f").agg(F.sum("n")).collect()}
+    found = {(r[0], r[1]): r[2] for r in map_arrow(known.select("label", "body"), features, "label string, f int, n double").groupBy("label", "f").agg(F.sum("n")).collect()}
     # One role for each turn number: ties must not multiply in the join.
     a = known.where("not alone").groupBy("conv", F.col("turn").alias("t")).agg(F.min("label").alias("label"))
     b = a.select(F.col("conv").alias("c2"), (F.col("t") - 1).alias("t2"), F.col("label").alias("l2"))
@@ -240,7 +240,7 @@ def _by_key(df: DataFrame, each: Callable[[list[dict]], list[tuple]], schema: st
         yield batch(out)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return map_arrow(df.repartition(n, *keys).sortWithinPartitions(*keys, *order), run, schema)
 
 
 def _parts(model: RoleModel, row: dict, entry: int, exit_: int, before: int, after: int) -> list[tuple]:
@@ -296,6 +296,6 @@ def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             got = [x for r in b.to_pylist() for x in _parts(m, r, *m.chain([row_matrix(r)])[0], -1, -1)]
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, x)) for x in got], schema=arrow)
 
-    out = out.unionAll(alone.select("conv", "turn", "label", "body").mapInArrow(single, schema))
+    out = out.unionAll(map_arrow(alone.select("conv", "turn", "label", "body"), single, schema))
     rendered = F.concat(F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))).otherwise(""), F.col("body"), F.when(F.col("closes"), F.lit("\n<|end|>\n")).otherwise("\n"))
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "part", "role", "opens", "closes", rendered.alias("rendered"))

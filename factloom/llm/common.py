@@ -8,17 +8,21 @@ Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside an Arrow batch. It bounds the working
 #: memory of the numpy kernels; results never depend on it.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+#: Bytes of an Arrow batch at most, so that a batch of long texts stays small beside an executor's memory.
+BATCH_BYTES = 8 << 20
 
 #: ``[\x20\x09-\x0D]``: the white space of the word definition.
 SPACE = np.zeros(256, bool)
@@ -45,29 +49,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files that the written table replaces go when the driver's heap is collected, which a driver that
+    # only plans does rarely: without a nudge a chain of stages keeps the files of all of them on the executors.
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 #: A key that more than this share of all rows has is hot; there are at most as many hot keys.
 HOT_SHARE = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, right_key: str, weight: str, total: int, also: Column | None = None, how: str = "left") -> DataFrame:
-    """Join ``left`` with ``right`` on a key that a third of all rows of ``left`` may share.
+def join_hot(left: DataFrame, right: DataFrame, key: str, right_key: str, weight: str, total: int) -> DataFrame:
+    """Left join of ``left`` with ``right`` on a key that a third of all rows of ``left`` may share.
 
     ``weight`` in ``right`` says how many rows of ``left`` have its key, of
     ``total``. Rows with one of the at most ``HOT_SHARE`` hot keys are joined by
     broadcast, where they stand; the others by Spark's choice; null keys join
-    nothing and do not move. ``right`` must have few rows for a key. ``also`` is
-    a further condition.
+    nothing and do not move. ``right`` has one row for a key.
     """
+    right = checkpoint(right)
     on = F.col(key) == F.col(right_key)
-    on = on if also is None else on & also
     hot, cold = right.where(F.col(weight) * HOT_SHARE > total), right.where(F.col(weight) * HOT_SHARE <= total)
+    if hot.isEmpty() and left.where(F.col(key).isNull()).isEmpty():
+        return left.join(right, on, "left")
     names = hot.select(F.col(right_key).alias("hot_key")).distinct()
     marked = left.join(F.broadcast(names), F.col(key) == F.col("hot_key"), "left")
-    here = marked.where(F.col("hot_key").isNotNull() | F.col(key).isNull()).drop("hot_key").join(F.broadcast(hot), on, how)
-    return here.unionByName(marked.where(F.col("hot_key").isNull() & F.col(key).isNotNull()).drop("hot_key").join(cold, on, how))
+    here = marked.where(F.col("hot_key").isNotNull() | F.col(key).isNull()).drop("hot_key").join(F.broadcast(hot), on, "left")
+    return here.unionByName(marked.where(F.col("hot_key").isNull() & F.col(key).isNotNull()).drop("hot_key").join(cold, on, "left"))
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:
@@ -102,6 +111,28 @@ def spans(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the system; idle workers live on beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_BYTES``; the task's memory is released at its end."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(name).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidied, schema)
+
+
 def map_texts(df: DataFrame, text: str, kernel: Callable[[pa.Array], list[pa.Array]], fields: str, keep: list[str]) -> DataFrame:
     """Append the columns that ``kernel`` computes from a chunk of texts to ``keep``.
 
@@ -121,7 +152,7 @@ def map_texts(df: DataFrame, text: str, kernel: Callable[[pa.Array], list[pa.Arr
                 yield pa.RecordBatch.from_arrays(cols, names=[*inner, *(f.split()[0] for f in fields.split(", "))])
 
     del spark
-    out = src.mapInArrow(run, schema)
+    out = map_arrow(src, run, schema)
     return out.select(*[out[c].alias(k) for k, c in zip(keep, inner)], *[f.split()[0] for f in fields.split(", ")])
 
 

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import map_arrow
 
 #: Parts for each shuffle partition at least: a part is what one reducing step holds in memory.
 PARTS_PER_PARTITION = 6
@@ -20,10 +21,9 @@ PARTS_PER_PARTITION = 6
 PART_BYTES = 32 << 20
 
 
-def parts_of(df: DataFrame, text: str) -> int:
-    """Number of parts that the texts of ``df`` are dealt to."""
-    size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(PARTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+def parts_of(df: DataFrame, text_bytes: int) -> int:
+    """Number of parts that records of so many bytes of text are dealt to."""
+    return max(PARTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes // PART_BYTES)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -80,7 +80,7 @@ def by_part(df: DataFrame, parts: int, reduce: Callable[[dict[int, list[bytes]]]
             yield from reduce(held)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return map_arrow(df.repartition(n, "part").sortWithinPartitions("part"), run, schema)
 
 
 def gather(held: list[bytes], dtypes: list) -> list[np.ndarray]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, fresh, spans, string_array
+from .common import byte_view, fresh, map_arrow, spans, string_array
 from .packing import CELL_SCHEMA, by_part, cells, deal, gather, pack, part_of, parts_of
 from .suffix_kernel import DEPTH, first_of, radix_groups, runs, window_digits
 
@@ -95,18 +95,26 @@ def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
                 yield keys[i:j], got
 
 
-def _frequent_digits(texts: DataFrame) -> np.ndarray:
-    """First digits, at most ``FREQUENT``, that so large a share of the sampled runs has."""
+def _sampled(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """First digits, at most ``FREQUENT``, that so large a share of the sampled runs has; and about how many bytes all texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (_, _, _, digit, *_) in _each_chunk(batches):
-            d, n = np.unique(digit, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(n)], names=["digit", "n"])
-
-    counts = texts.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0).mapInArrow(run, "digit bigint, n bigint")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.groupBy("digit").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total / FREQUENT)).select("digit").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+        for b in batches:
+            size = len(byte_view(string_array(b.column(1)))[0])
+            total = pa.RecordBatch.from_pydict({"digit": pa.array([None], pa.int64()), "n": pa.array([0], pa.int64()), "size": pa.array([size], pa.int64())})
+            yield total
+            for _, (_, _, _, digit, *_) in _each_chunk([b]):
+                d, n = np.unique(digit, return_counts=True)
+                none = np.zeros(len(d), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(n), pa.array(none)], names=["digit", "n", "size"])
+                yield pa.RecordBatch.from_pydict({"digit": pa.array([None], pa.int64()), "n": pa.array([len(digit)], pa.int64()), "size": pa.array([0], pa.int64())})
+
+    counts = map_arrow(texts.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0), run, "digit bigint, n bigint, size bigint")
+    # The row without a digit counts all runs, so it comes first.
+    rows = counts.groupBy("digit").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).orderBy(F.desc("n"), F.col("digit").asc_nulls_first()).limit(FREQUENT + 1).collect()
+    whole = next((r for r in rows if r.digit is None), None)
+    often = [r.digit for r in rows if r.digit is not None and r.n >= max(2, whole.n / FREQUENT)]
+    return np.sort(np.array(often, np.int64).view(np.uint64)), (whole.size if whole else 0) * SAMPLED
 
 
 def _first_pass(parts: int, frequent: np.ndarray):
@@ -244,12 +252,12 @@ def repeated_spans(docs: DataFrame, key: str, text: str, carry: list[str]) -> tu
     ``carry`` columns travel with the texts, which cross the network once: both
     joins on the key read the same exchange.
     """
-    parts = parts_of(docs, text)
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).where("key is not null")
-    frequent = _frequent_digits(base.select("key", "text"))
-    second = by_part(base.select("key", "text").mapInArrow(_first_pass(parts, frequent), CELL_SCHEMA), parts, _second_pass, _SPAN_SCHEMA)
+    frequent, size = _sampled(base.select("key", "text"))
+    parts = parts_of(docs, size)
+    second = by_part(map_arrow(base.select("key", "text"), _first_pass(parts, frequent), CELL_SCHEMA), parts, _second_pass, _SPAN_SCHEMA)
     play = second.where("digit is not null").groupBy("key").agg(F.collect_list(F.struct("lo", "n", "digit", "hot")).alias("play"))
-    third = base.join(play.withColumnRenamed("key", "p_key"), F.col("key") == F.col("p_key")).drop("p_key").mapInArrow(_third_pass(parts), CELL_SCHEMA)
+    third = map_arrow(base.join(play.withColumnRenamed("key", "p_key"), F.col("key") == F.col("p_key")).drop("p_key"), _third_pass(parts), CELL_SCHEMA)
     last = by_part(third, parts, _last_pass, _SPAN_SCHEMA)
     marked = second.where("digit is null").select("key", "lo", "n").unionAll(last.select("key", "lo", "n"))
     return marked.groupBy(F.col("key").alias("m_key")).agg(F.collect_list(F.struct("lo", "n")).alias("marks")), base
@@ -289,5 +297,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(1 + k) for k in range(len(inner))] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=inner + [f.split()[0] for f in fields.split(", ")])
 
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in inner), fields])
-    out = rows.mapInArrow(run, schema)
+    out = map_arrow(rows, run, schema)
     return out.select(*[F.col(c).alias(k) for c, k in zip(inner, carry)], *[f.split()[0] for f in fields.split(", ")])

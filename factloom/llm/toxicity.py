@@ -38,14 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_view, checkpoint, map_texts, mix, prefix_hash, range_hash, spans, string_array, words
+from .common import LOWER, byte_view, checkpoint, map_arrow, map_texts, mix, prefix_hash, range_hash, spans, string_array, words
 
 #: Bounds on the labelled rows, and on the bytes of their texts, of each class that are fitted on.
 SAMPLE_ROWS = 4500
-SAMPLE_BYTES = 12 << 20
+SAMPLE_BYTES = 4 << 20
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
 #: Pseudo-counts with which the shared model enters a class's stem level.
@@ -126,7 +127,7 @@ class KneserNeyPair:
     """Two class models with common tables of words, stems and bigrams, from rows (text, class)."""
 
     def __init__(self, rows: DataFrame):
-        counted = rows.mapInArrow(_count_pairs, _PAIR_SCHEMA).groupBy("pair")
+        counted = map_arrow(rows, _count_pairs, _PAIR_SCHEMA).groupBy("pair")
         pairs = checkpoint(counted.agg(*[F.min(c).alias(c) for c in ("prev", "word", "stem")], F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
         self._fit_words(pairs)
         self._fit_pairs(pairs)
@@ -150,8 +151,8 @@ class KneserNeyPair:
         in_stem = 1.0 / np.maximum(np.bincount(of_word, minlength=len(self.stems)), 1)  # shared choice within a stem
         p_word = np.maximum(cont - DISCOUNT, 0) / n + back * (p_stem * in_stem)[:, of_word]
         # Words that neither class saw: the weights of falling back are shared, so only the stem speaks.
-        self.stem_llr = np.log(p_stem[1] / p_stem[0])
-        self.word_llr = np.log(p_word[1] / p_word[0])
+        self.stem_llr = np.log(p_stem[1] / p_stem[0]).astype(np.float32)
+        self.word_llr = np.log(p_word[1] / p_word[0]).astype(np.float32)
 
     def _fit_pairs(self, pairs: DataFrame) -> None:
         # A bigram's backoff counts are shared: both classes together get BACKOFF of them, dealt as
@@ -172,19 +173,19 @@ class KneserNeyPair:
                 ratio = np.log((n1 + BACKOFF * share) / (n0 + BACKOFF * (1 - share))) - head
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ratio.astype(np.float32))], names=["pair", "ratio"])
 
-        self.pairs, (self.pair_llr,) = _table(pairs.select("pair", "prev", "word", "n0", "n1").mapInArrow(ratios, "pair bigint, ratio float"), "pair")
+        self.pairs, (self.pair_llr,) = _table(map_arrow(pairs.select("pair", "prev", "word", "n0", "n1"), ratios, "pair bigint, ratio float"), "pair")
         shared.unpersist()
 
     def llr(self, word: np.ndarray, stem: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio of each word, from the longest level that knows it."""
         i = _counts(stem, self.stems)
-        out = np.where(i >= 0, self.stem_llr[i] if len(self.stems) else 0.0, 0.0)
+        out = np.where(i >= 0, self.stem_llr[i] if len(self.stems) else 0.0, 0.0).astype(np.float64)
         i = _counts(word, self.words)
         if len(self.words):
             np.copyto(out, self.word_llr[i], where=i >= 0)
         i = _counts(_pair(_previous(word, doc), word), self.pairs)
         if len(self.pairs):
-            np.copyto(out, self.pair_llr[i], where=i >= 0, casting="same_kind")
+            np.copyto(out, self.pair_llr[i], where=i >= 0)
         return out
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -207,16 +208,16 @@ class KneserNeyPair:
 
 
 class ToxicityModel:
-    """A Kneser-Ney pair and its calibration."""
+    """A Kneser-Ney pair, broadcast once for calibration and scoring, and its calibration."""
 
-    def __init__(self, share: float, pair: KneserNeyPair | None = None, weights: np.ndarray | None = None):
+    def __init__(self, share: float, pair: Broadcast[KneserNeyPair] | None = None, weights: np.ndarray | None = None):
         """share: of toxic rows among all labelled ones, the score where there is no pair."""
         self.pair, self.weights, self.prior = pair, weights, share
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.pair is None:
             return np.full(len(texts), self.prior)
-        z = np.column_stack([self.pair.features(texts), np.ones(len(texts))]) @ self.weights
+        z = np.column_stack([self.pair.value.features(texts), np.ones(len(texts))]) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -267,6 +268,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     apart = len(kinds) == 4
     pair = KneserNeyPair(sample.where(~F.col("held") if apart else F.lit(True)).select("text", F.col("toxic").cast("long")))
     shared = docs.sparkSession.sparkContext.broadcast(pair)
+    del pair
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -276,22 +278,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(list(f), pa.list_(pa.float64()))], names=["toxic", "f"])
 
     # A row of a few numbers for each calibrating text.
-    held = sample.where(F.col("held") if apart else F.lit(True)).select("text", "toxic").mapInArrow(features, "toxic int, f array<double>").collect()
-    shared.unpersist()
+    held = map_arrow(sample.where(F.col("held") if apart else F.lit(True)).select("text", "toxic"), features, "toxic int, f array<double>").collect()
     held.sort()
     x, y = np.array([r[1] for r in held]), np.array([r[0] for r in held])
     weights = _logistic(x, y)
     drawn = y.mean()
     weights[-1] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
-    return ToxicityModel(share, pair, weights)
+    return ToxicityModel(share, shared, weights)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """``keep`` columns of ``docs`` and the score, 0 to 1, of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
-        return [pa.array(shared.value.score(texts))]
+        return [pa.array(model.score(texts))]
 
     return map_texts(docs, text_col, kernel, f"{name} double", keep)
 
