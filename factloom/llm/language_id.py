@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Bounds on the sample of each language: texts are taken, whole, until they have so many characters,
-#: so many documents are looked at, and longer texts only where a language has no shorter one.
-SAMPLE_CHARS = 40_000
+#: Bounds on the sample of each language: texts are taken, whole, until they have so many characters, from so many
+#: documents. Longer texts come after all others, the shortest first, and never take a sample above twice its bound.
+SAMPLE_CHARS = 120_000
 SAMPLE_DOCS = 400
-SAMPLE_LONGEST = 4_000
+SAMPLE_LONGEST = 1_000
 #: Characters of the strips that are parsed in step; results do not depend on it.
 STRIP = 512
 #: Steepness with which phrases a character become a score.
@@ -239,13 +239,12 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The hash covers the text, so rows that share an id or have none are drawn by themselves.
     keyed = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col, F.lit("language")).alias("h"), F.col(text_col).alias("t")).where("lang is not null and t is not null and trim(t) != ''")
     rows = keyed.select("lang", "h", F.length("t").alias("n"))
-    # Longer texts come after all others, the shortest first, for languages that have no others.
     rows = rows.select("lang", "h", "n", F.when(F.col("n") > SAMPLE_LONGEST, F.col("n")).otherwise(0).alias("late"))
     # A first cut inside each partition keeps a common language from meeting in one task.
     part = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min(F.struct("late", "h", "n")).alias("x")).select("lang", "x.*")
     by_rank = Window.partitionBy("lang").orderBy("late", "h")
     before = F.coalesce(F.sum("n").over(by_rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = part.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).where((F.col("late") == 0) | (F.col("before") == 0))
+    chosen = part.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).where((F.col("late") == 0) | (F.col("before") == 0) | (F.col("before") + F.col("n") <= 2 * SAMPLE_CHARS))
     picked = chosen.select(F.col("lang").alias("c_lang"), F.col("h").alias("c_h"), "late")
     drawn = keyed.join(picked, (F.col("lang") == F.col("c_lang")) & (F.col("h") == F.col("c_h"))).groupBy("lang", "late", "h").agg(F.min("t").alias("t"))
     samples: dict[str, list[str]] = {}
