@@ -429,6 +429,23 @@ def test_jaccard_open_classes(spark, monkeypatch):
     assert sorted((tuple(r) for r in jaccard_join.jaccard_components(df).collect()), key=str) == _components(rows)
 
 
+def test_jaccard_borderline_families(spark, monkeypatch):
+    """Families whose members differ by one to three words, so that many links need a shingle or two outside the hub."""
+    monkeypatch.setattr(jaccard_join, "ALL_PAIRS", 1)
+    rnd = random.Random(41)
+    rows = []
+    for _ in range(10):
+        base = [f"v{rnd.randrange(4000)}" for _ in range(rnd.randint(50, 70))]
+        for _ in range(14):
+            t = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                t[rnd.randrange(len(t))] = f"e{rnd.randrange(6)}"
+            cut = rnd.choice([0, 0, 2, 5])
+            rows.append((len(rows), " ".join(t[cut:])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_components(df).collect()), key=str) == _components(rows)
+
+
 def test_jaccard_odd_input(spark, odd, empty):
     got = jaccard_join.jaccard_components(clashing(odd)).collect()
     assert sorted((tuple(r) for r in got), key=str) == _components([(r[0], r[1]) for r in odd_rows()])
