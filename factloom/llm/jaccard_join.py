@@ -18,13 +18,15 @@ and that order is cut into fragments.
    of the order by hash. For each pair every fragment counts its part of the
    whole overlap by itself; the parts are summed for each pair, which decides
    the links, and these are joined to components.
-4. A dense class z that is not linked to a hub h and not in its component is
-   *open*: if it is linked to a class y of the same group, then
-   ``|z & y| <= |z & h| + |(z - h) & y|``, so y holds enough of the shingles of
-   z outside h. These are few, and they find the pairs that are left to count.
-   Shingles outside h that many hold are not expanded but granted to the bound;
-   where the bound leaves nothing to ask for, z meets the classes of the same
-   hub whose own overlap with it is large enough.
+4. A dense class z that is not linked to a hub and not in its component is
+   *open*. For any class y and any hub h,
+   ``|z & y| <= |z & h| + |(z - h) & y|``, so a y that is linked to z holds
+   enough of the shingles of z outside h. One hub is enough to ask for all y;
+   the one that leaves the fewest shingles outside is taken, and the rarest of
+   these find the pairs that are left to count. Shingles outside h that many
+   hold are not expanded but granted to the bound. Where the bound then asks for nothing, z
+   is asked about each of its hubs; under a hub that asks for nothing either, it
+   also meets the classes of that hub whose own overlap with it is large enough.
 
 No link between different components is missed, and no group emits all its
 pairs.
@@ -43,10 +45,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, byte_view, checkpoint, join_hot, mix, prefix_hash, range_hash, spans, string_array, words
+from .common import LOWER, SPACE, byte_view, checkpoint, join_hot, map_arrow, mix, prefix_hash, range_hash, spans, string_array, words
 from .packing import CELL_SCHEMA, by_part, cells, deal, gather, pack, parts_of, unpack
 
 #: Words of a shingle.
@@ -64,6 +66,8 @@ EXPANDED = 64
 SKETCH = 1 << 20
 FILTER = 1 << 23
 _SLICES = 16
+#: Bytes of a word and the blank behind it, about; it only tells how many parts to make.
+WORD_BYTES = 7
 
 _U = np.uint64
 
@@ -152,7 +156,7 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
             total += np.bincount((sets % _U(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         yield _sliced(total)
 
-    return _collect_slices(texts.mapInArrow(run, CELL_SCHEMA), np.add, np.uint32, SKETCH)
+    return _collect_slices(map_arrow(texts, run, CELL_SCHEMA), np.add, np.uint32, SKETCH)
 
 
 def member_filter(rows: DataFrame, columns: list[str]) -> np.ndarray:
@@ -165,7 +169,7 @@ def member_filter(rows: DataFrame, columns: list[str]) -> np.ndarray:
                 bits[_bit(np.asarray(c).view(np.uint64))] = True
         yield _sliced(np.packbits(bits))
 
-    return np.unpackbits(_collect_slices(rows.select(*columns).mapInArrow(run, CELL_SCHEMA), np.bitwise_or, np.uint8, FILTER // 8)).astype(bool)
+    return np.unpackbits(_collect_slices(map_arrow(rows.select(*columns), run, CELL_SCHEMA), np.bitwise_or, np.uint8, FILTER // 8)).astype(bool)
 
 
 def _bit(x: np.ndarray) -> np.ndarray:
@@ -215,7 +219,7 @@ def _first_shingles(texts: DataFrame, shared, parts: int) -> DataFrame:
                 sig, step = np.repeat(digest[pick], size), np.repeat(_size_step(np.diff(bounds)[pick]), size)
                 yield cells([(p, 0, c) for p, c in deal(((mix(tok) >> _U(33)) % _U(parts)).astype(np.int64), parts, tok, sig, step)])
 
-    return texts.mapInArrow(run, CELL_SCHEMA)
+    return map_arrow(texts, run, CELL_SCHEMA)
 
 
 def _groups(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +272,7 @@ def _unpacked(found: DataFrame, kind: int, dtypes: list, schema: str) -> DataFra
                 cols = unpack(c.as_py(), dtypes)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in cols], names=names)
 
-    return found.where(F.col("kind") == kind).select("cell").mapInArrow(run, schema)
+    return map_arrow(found.where(F.col("kind") == kind).select("cell"), run, schema)
 
 
 def _cuts(s: np.ndarray) -> np.ndarray:
@@ -285,27 +289,37 @@ def _sets(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
         passes = np.unpackbits(shared.value).astype(bool)
         for _, _, sets, bounds, digest in _each_chunk(batches, 0):
             pick = _once(digest, bounds)
-            pick = pick[passes[_bit(digest[pick].view(np.uint64))]]
-            yield pa.RecordBatch.from_arrays([pa.array(digest[pick]), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in pick], pa.binary())], names=["sig", "set"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
             rows = []
-            for sig, v in zip(b.column(0).to_pylist(), b.column(1)):
-                s = np.frombuffer(v.as_buffer(), np.uint64)
+            for i in pick[passes[_bit(digest[pick].view(np.uint64))]].tolist():
+                s = sets[bounds[i] : bounds[i + 1]]
                 at = _cuts(s)
-                rows += [(sig, k, s[x:y].tobytes()) for k, (x, y) in enumerate(zip(at[:-1], at[1:])) if y > x]
+                rows += [(digest[i], k, s[x:y].tobytes()) for k, (x, y) in enumerate(zip(at[:-1], at[1:])) if y > x]
             sig, part, cell = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(part, pa.int32()), pa.array(cell, pa.binary())], names=["sig", "part", "set"])
 
-    return texts.mapInArrow(run, "sig bigint, set binary").dropDuplicates(["sig"]).mapInArrow(cut, "sig bigint, part int, set binary")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # All parts of a set in one partition: neither join below has to move the sets.
+    return map_arrow(texts, run, "sig bigint, part int, set binary").repartition(n, "sig").dropDuplicates(["sig", "part"])
+
+
+def _needed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose class stands in pairs(a, b), and few others: only these are worth moving to a join of few pairs."""
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(member_filter(pairs, ["a", "b"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(passes[_bit(np.asarray(b.column(0)).view(np.uint64))]))
+
+    return map_arrow(sets, run, "sig bigint, part int, set binary")
 
 
 def _side_by_side(sets: DataFrame, pairs: DataFrame, how: str = "inner") -> DataFrame:
     """The columns of pairs(a, b, ...) with sa and sb, their sets' parts in one fragment, a row for each of a's fragments."""
     left = sets.select(F.col("sig").alias("ka"), F.col("part").alias("pa"), F.col("set").alias("sa"))
     right = sets.select(F.col("sig").alias("kb"), F.col("part").alias("pb"), F.col("set").alias("sb"))
-    on = (F.col("b") == F.col("kb")) & (F.col("pa") == F.col("pb"))
+    # Joined by class alone, as the sets lie; the difference keeps equal parts without being a key.
+    on = (F.col("b") == F.col("kb")) & (F.col("pa") - F.col("pb") == 0)
     return pairs.join(left, F.col("a") == F.col("ka")).join(right, on, how).select(*pairs.columns, "sa", "sb")
 
 
@@ -322,7 +336,7 @@ def count_overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(cols))), pa.array(out)], names=[*cols, "part_inter"])
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema] + ["part_inter bigint"])
-    parts = _side_by_side(sets, pairs).mapInArrow(overlap, schema)
+    parts = map_arrow(_side_by_side(sets, pairs), overlap, schema)
     counted = parts.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in cols if c not in ("a", "b")], F.sum("part_inter").alias("inter"))
     return counted.withColumn("link", F.col("inter") * DEN >= (F.col("na") + F.col("nb") - F.col("inter")) * NUM)
 
@@ -337,13 +351,12 @@ def _outside(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             ids = [pa.array(np.repeat(np.asarray(b.column(c)), n)) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64))], names=["a", "b", "tok"])
 
-    return _side_by_side(sets, pairs.select("a", "b"), "left").mapInArrow(run, "a bigint, b bigint, tok bigint")
+    return map_arrow(_side_by_side(sets, pairs.select("a", "b"), "left"), run, "a bigint, b bigint, tok bigint")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in links(a, b), by large-star and small-star steps; root is the least node."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
     while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("mu")).agg(F.least(F.min("v"), F.col("mu")).alias("m"))
@@ -352,10 +365,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("u").alias("mu")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("mu"))
         edges = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select(F.col("mu").alias("u"), F.col("m").alias("v"))).where("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # Done when no root has a root of its own and no node has two.
+        roots = edges.select(F.col("v").alias("rv")).distinct()
+        twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        if edges.join(roots, F.col("u") == F.col("rv"), "left_semi").isEmpty() and twice.isEmpty():
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -374,35 +388,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(n)), pa.array(n), pa.array(digest, mask=n == 0), pa.array((mean * 1000).astype(np.int32))], names=["id", "n", "sig", "usual"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = checkpoint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(digests, f"id {kind}, n bigint, sig bigint, usual int"))
-    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("id").alias("least"), F.count("*").alias("rows"))
-    size = lambda c, out: (classes.select(F.col("sig").alias(f"s_{c}"), F.col("n").alias(out)), F.col(c) == F.col(f"s_{c}"))
+    rows = checkpoint(map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), digests, f"id {kind}, n bigint, sig bigint, usual int"))
+    classes = checkpoint(rows.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("id").alias("least"), F.count("*").alias("rows")))
     least = lambda n: 1 + F.floor(n / 4)
     fit = "na * 4 >= nb * 3 and nb * 4 >= na * 3"
 
-    parts = parts_of(texts, "t")
+    parts = parts_of(docs, WORD_BYTES * (rows.agg(F.sum("n")).first()[0] or 0))
     found = checkpoint(by_part(_first_shingles(texts, shared, parts), parts, _candidates, CELL_SCHEMA))
     large = _unpacked(found, 1, _LARGE, "sig bigint, tok bigint")
-    in_large = large.groupBy("sig").agg(F.count("*").alias("large"))
-    large_of = lambda c, out: (in_large.select(F.col("sig").alias(f"l_{c}"), F.col("large").alias(out)), F.col(c) == F.col(f"l_{c}"), "left")
-    # Pairs of small groups whose partial counts can still reach the least.
-    small = _unpacked(found, 0, _PAIRS, "a bigint, b bigint, n int").groupBy("a", "b").agg(F.sum("n").alias("shared")).join(*size("a", "na")).join(*size("b", "nb")).where(fit)
-    small = small.join(*large_of("a", "la")).join(*large_of("b", "lb"))
-    small = small.where(F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= least(F.least("na", "nb"))).select("a", "b", "na", "nb", F.lit(False).alias("star"), F.lit(None).cast("bigint").alias("low"))
-
-    dense = checkpoint(in_large.join(classes.withColumnRenamed("sig", "c"), F.col("sig") == F.col("c")).where(F.col("large") >= least(F.ceil(F.col("n") * 3 / 4))).select("sig", "n", "usual"))
+    in_large = large.groupBy(F.col("sig").alias("l_sig")).agg(F.count("*").alias("large"))
+    info = checkpoint(classes.join(in_large, F.col("sig") == F.col("l_sig"), "left").select("sig", "n", "usual", F.coalesce("large", F.lit(0)).alias("large")))
+    of = lambda c: (info.select(F.col("sig").alias(f"s_{c}"), F.col("n").alias(f"n{c}"), F.col("large").alias(f"l{c}")), F.col(c) == F.col(f"s_{c}"))
+    # Pairs of small groups whose partial counts can still reach the least; most cannot, which one side's numbers show.
+    small = _unpacked(found, 0, _PAIRS, "a bigint, b bigint, n int").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    small = small.join(*of("a")).where(F.col("shared") + F.col("la") >= least(F.ceil(F.col("na") * NUM / DEN))).drop("s_a")
+    small = small.join(*of("b")).where(fit).where(F.col("shared") + F.least("la", "lb") >= least(F.least("na", "nb")))
+    small = small.select("a", "b", "na", "nb", F.lit(False).alias("star"), F.lit(None).cast("bigint").alias("low"))
+
+    dense = checkpoint(info.where((F.col("large") > 0) & (F.col("large") >= least(F.ceil(F.col("n") * NUM / DEN)))).select("sig", "n", "usual"))
     members = checkpoint(large.join(dense.withColumnRenamed("sig", "d"), F.col("sig") == F.col("d")).select("tok", "sig", "n", "usual", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3 + 1e-9))).cast("int").alias("band")))
     hubs = members.groupBy("tok", "band").agg(F.max(F.struct("usual", F.xxhash64("sig"), F.struct("sig", "n").alias("hub"))).alias("x")).select(F.col("tok").alias("h_tok"), F.col("band").alias("h_band"), F.col("x.hub.sig").alias("hub"), F.col("x.hub.n").alias("nh"))
-    lows = members.groupBy(F.col("tok").alias("w_tok")).agg(F.min("n").alias("low"), F.count("*").alias("holders"))
+    lows = members.groupBy(F.col("tok").alias("w_tok")).agg(F.min("n").alias("low"))
     # Linked classes lie in one band or in neighbouring ones, so both meet the hub of either's band.
-    near = hubs.join(lows, F.col("h_tok") == F.col("w_tok")).select("h_tok", "hub", "nh", "low", "holders", F.explode(F.array(*[F.col("h_band") + d for d in (-1, 0, 1)])).alias("for_band"))
-    stars = join_hot(members, near, "tok", "h_tok", "holders", members.count(), also=F.col("band") == F.col("for_band"), how="inner").where("sig != hub").groupBy(F.col("sig").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("na"), F.max("nh").alias("nb"), F.min("low").alias("low"))
+    near = hubs.join(lows, F.col("h_tok") == F.col("w_tok")).select("h_tok", "hub", "nh", "low", F.explode(F.array(*[F.col("h_band") + d for d in (-1, 0, 1)])).alias("for_band"))
+    stars = members.join(near, (F.col("tok") == F.col("h_tok")) & (F.col("band") == F.col("for_band"))).where("sig != hub").groupBy(F.col("sig").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("na"), F.max("nh").alias("nb"), F.min("low").alias("low"))
     pairs = small.unionByName(stars.select("a", "b", "na", "nb", F.lit(True).alias("star"), "low"))
     pairs = checkpoint(pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star"), F.min("low").alias("low")))
     sets = checkpoint(_sets(texts, pairs, ["a", "b"]))
     judged = checkpoint(count_overlaps(sets, pairs))
     links = judged.where("link").select("a", "b")
-    roots = connected_components(links)
+    roots = checkpoint(connected_components(links))
 
     # Dense classes that are neither linked to a hub nor in its component are open.
     root = lambda c, out: (roots.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(out)), F.col(c) == F.col(f"n_{c}"), "left")
@@ -410,19 +425,50 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = checkpoint(apart(judged.where("star and not link"), "a", "b"))
     if not open_.isEmpty():
         more = checkpoint(apart(_left_over(sets, open_, dense, judged), "a", "b").join(judged.select(F.col("a").alias("ja"), F.col("b").alias("jb")), (F.col("a") == F.col("ja")) & (F.col("b") == F.col("jb")), "left_anti"))
-        again = count_overlaps(sets, more).where("link").select("a", "b")
-        roots = connected_components(links.unionAll(again))
+        again = checkpoint(count_overlaps(_needed(sets, more), more).where("link").select("a", "b"))
+        if not again.isEmpty():
+            # The new links join components, few of many: their roots alone are searched once more.
+            ends = again.join(*root("a", "ra")).join(*root("b", "rb")).select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+            higher = checkpoint(connected_components(ends).select(F.col("node").alias("h_node"), F.col("root").alias("h_root")))
+            known = roots.unionAll(ends.select("a", "a")).unionAll(ends.select("b", "b")).distinct()
+            roots = checkpoint(known.join(higher, F.col("root") == F.col("h_node"), "left").select("node", F.coalesce("h_root", "root").alias("root")).distinct())
     # Classes to components, then rows to classes: a class of copies or a component may hold a third of all rows.
     rooted = checkpoint(classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "least", "rows"))
     whole = rooted.groupBy(F.col("root").alias("g")).agg(F.min("least").alias("component"), F.count("*").alias("classes"))
-    named = checkpoint(join_hot(rooted, whole, "root", "g", "classes", rooted.count()).select(F.col("sig").alias("of_sig"), "component", "rows"))
+    named = join_hot(rooted, whole, "root", "g", "classes", rooted.count()).select(F.col("sig").alias("of_sig"), "component", "rows")
     out = join_hot(rows, named, "sig", "of_sig", "rows", rows.count())
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def _left_over(sets: DataFrame, open_: DataFrame, dense: DataFrame, judged: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) that open classes can still link: see step 4 of the module."""
-    outside = checkpoint(_outside(sets, open_).withColumnRenamed("b", "hub"))
+    # A linked class has three quarters of the size at least, and the least size of the class's groups.
+    least = open_.groupBy(F.col("a").alias("w_a")).agg(F.greatest(F.min("low"), F.min(F.ceil(F.col("na") * NUM / DEN))).alias("least"))
+    asks = F.ceil((F.col("na") + F.col("least")) * NUM / (NUM + DEN)) - F.col("inter") >= 1
+    of_class = Window.partitionBy("a")
+    # The best hub leaves something to ask for and little outside; where none asks for anything, each hub is needed.
+    rows = open_.drop("low").join(least, F.col("a") == F.col("w_a")).select("a", "b", "na", "inter", F.col("least").alias("low"), asks.alias("asks"))
+    rows = rows.withColumn("place", F.row_number().over(of_class.orderBy(F.desc("asks"), F.desc("inter"), "b"))).withColumn("any", F.max("asks").over(of_class))
+    rows = checkpoint(rows.where("place = 1 or not any").select("a", "b", "na", "inter", "low"))
+    z, found = _asked(sets, rows, dense)
+    # Shingles that were granted may have left nothing to ask for after all.
+    again = z.groupBy(F.col("a").alias("g_a")).agg(F.max("least_need").alias("most")).where("most < 1")
+    rest = open_.join(again, F.col("a") == F.col("g_a"), "left_semi").join(z.select(F.col("a").alias("z_a"), F.col("hub").alias("z_hub")), (F.col("a") == F.col("z_a")) & (F.col("b") == F.col("z_hub")), "left_anti")
+    rest = checkpoint(rest.drop("low").join(least, F.col("a") == F.col("w_a")).select("a", "b", "na", "inter", F.col("least").alias("low")))
+    if not rest.isEmpty():
+        more, extra = _asked(sets, rest, dense)
+        z, found = z.unionAll(more), found.unionAll(extra)
+    done = z.where("least_need >= 1").select(F.col("a").alias("da")).distinct()
+    wide = z.join(done, F.col("a") == F.col("da"), "left_anti").select("a", F.col("hub").alias("wh"), "na", F.col("inter").alias("own"), "granted")
+    others = judged.where("star").select(F.col("a").alias("y"), F.col("b").alias("yh"), F.col("na").alias("ny"), F.col("inter").alias("theirs"))
+    enough = (F.least("own", "theirs") + F.col("granted")) * (NUM + DEN) >= (F.col("na") + F.col("ny")) * NUM
+    met = wide.join(others, (F.col("wh") == F.col("yh")) & (F.col("a") != F.col("y")) & enough).select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb"))
+    return found.unionAll(met).where("na * 4 >= nb * 3 and nb * 4 >= na * 3").distinct()
+
+
+def _asked(sets: DataFrame, open_: DataFrame, dense: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open classes and a hub each, with the shingles granted and the least that any y must share outside the hub; and the pairs that these find."""
+    outside = checkpoint(_outside(_needed(sets, open_), open_).withColumnRenamed("b", "hub"))
     # The shingles of dense classes that some open class has outside its hub; every dense class with a star has its set.
     passes = sets.sparkSession.sparkContext.broadcast(np.packbits(member_filter(outside, ["tok"])))
 
@@ -434,24 +480,23 @@ def _left_over(sets: DataFrame, open_: DataFrame, dense: DataFrame, judged: Data
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), n)), pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64)), pa.array(np.repeat(np.asarray(b.column(1)), n))], names=["y", "y_tok", "ny"])
 
     of_dense = sets.join(dense.select(F.col("sig").alias("d"), F.col("n").alias("ny")), F.col("sig") == F.col("d")).select("sig", "ny", "set")
-    wanted = outside.select("tok").distinct()
-    held = checkpoint(of_dense.mapInArrow(holders, "y bigint, y_tok bigint, ny bigint").join(wanted, F.col("y_tok") == F.col("tok"), "left_semi"))
+    held = checkpoint(map_arrow(of_dense, holders, "y bigint, y_tok bigint, ny bigint"))
     common = held.groupBy(F.col("y_tok").alias("g_tok")).agg(F.count("*").alias("holders"))
-    known = outside.join(common, F.col("tok") == F.col("g_tok")).where("holders > 1").select("a", "hub", "tok", "holders")
+    known = checkpoint(outside.join(common, F.col("tok") == F.col("g_tok"), "left").select("a", "hub", "tok", F.coalesce("holders", F.lit(0)).alias("holders")))
     granted = known.groupBy(F.col("a").alias("ga"), F.col("hub").alias("gh")).agg(F.count_if(F.col("holders") > EXPANDED).alias("granted"))
-    z = open_.join(granted, (F.col("a") == F.col("ga")) & (F.col("b") == F.col("gh")), "left").select("a", F.col("b").alias("hub"), "na", "low", "inter", F.coalesce("granted", F.lit(0)).alias("granted"), (F.col("inter") + F.coalesce("granted", F.lit(0))).alias("had"))
-    z = checkpoint(z)
-    need = lambda n: F.ceil((F.col("na") + n) * NUM / (NUM + DEN)) - F.col("had")
-    # Where every class of the groups must share something outside the hub, those shingles find it.
-    cold = known.where(F.col("holders") <= EXPANDED).select(F.col("a").alias("ka"), F.col("hub").alias("kh"), "tok")
-    shared = cold.join(held, F.col("tok") == F.col("y_tok")).where("ka != y").groupBy("ka", "kh", "y").agg(F.count("*").alias("shared"), F.max("ny").alias("ny"))
-    narrow = shared.join(z, (F.col("ka") == F.col("a")) & (F.col("kh") == F.col("hub"))).where(F.col("shared") >= need(F.col("ny"))).select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb"))
-    # Where that bound asks for nothing, the class meets those that share its hub, as far as their overlap with the hub allows.
-    wide = z.where(need(F.col("low")) < 1).select("a", F.col("hub").alias("wh"), "na", F.col("inter").alias("own"), "granted")
-    others = judged.where("star").select(F.col("a").alias("y"), F.col("b").alias("yh"), F.col("na").alias("ny"), F.col("inter").alias("theirs"))
-    enough = (F.least("own", "theirs") + F.col("granted")) * (NUM + DEN) >= (F.col("na") + F.col("ny")) * NUM
-    met = wide.join(others, (F.col("wh") == F.col("yh")) & (F.col("a") != F.col("y")) & enough).select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb"))
-    return narrow.unionAll(met).where("na * 4 >= nb * 3 and nb * 4 >= na * 3").distinct()
+    z = open_.join(granted, (F.col("a") == F.col("ga")) & (F.col("b") == F.col("gh")), "left").select("a", F.col("b").alias("hub"), "na", "low", "inter", F.coalesce("granted", F.lit(0)).alias("granted"))
+    need = lambda n: F.ceil((F.col("na") + n) * NUM / (NUM + DEN)) - F.col("inter") - F.col("granted")
+    z = checkpoint(z.withColumn("least_need", need(F.col("low"))))
+    # Of the m shingles that others hold, a linked class holds least_need at least, so one of any m - least_need + 1:
+    # the rarest find it. Where it need hold none, all m find those that do.
+    cold = known.where((F.col("holders") > 1) & (F.col("holders") <= EXPANDED)).select(F.col("a").alias("ka"), F.col("hub").alias("kh"), "tok", "holders")
+    of_class = Window.partitionBy("ka", "kh")
+    ranked = cold.join(z, (F.col("ka") == F.col("a")) & (F.col("kh") == F.col("hub"))).withColumn("at", F.row_number().over(of_class.orderBy("holders", "tok"))).withColumn("m", F.count("*").over(of_class))
+    rare = ranked.where(F.col("at") <= F.col("m") - F.greatest("least_need", F.lit(1)) + 1).select("a", "na", "inter", "granted", "tok", (F.col("m") - F.col("at") + 1).alias("behind"))
+    # A larger partner must hold more of them, so it shows itself among still rarer ones.
+    fits = (F.col("a") != F.col("y")) & (F.col("na") * 4 >= F.col("ny") * 3) & (F.col("ny") * 4 >= F.col("na") * 3) & (F.col("behind") >= need(F.col("ny")))
+    found = rare.join(held, (F.col("tok") == F.col("y_tok")) & fits).select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb")).distinct()
+    return z, found
 
 
 __all__ = ["connected_components", "count_overlaps", "jaccard_components", "shingle_sets"]
