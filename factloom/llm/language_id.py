@@ -246,7 +246,8 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before = F.coalesce(F.sum("n").over(by_rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = part.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).where((F.col("late") == 0) | (F.col("before") == 0) | (F.col("before") + F.col("n") <= 2 * SAMPLE_CHARS))
     picked = chosen.select(F.col("lang").alias("c_lang"), F.col("h").alias("c_h"), "late")
-    drawn = keyed.join(picked, (F.col("lang") == F.col("c_lang")) & (F.col("h") == F.col("c_h"))).groupBy("lang", "late", "h").agg(F.min("t").alias("t"))
+    # At most SAMPLE_DOCS rows for each language, of which the automata hold far more.
+    drawn = keyed.join(F.broadcast(picked), (F.col("lang") == F.col("c_lang")) & (F.col("h") == F.col("c_h"))).groupBy("lang", "late", "h").agg(F.min("t").alias("t"))
     samples: dict[str, list[str]] = {}
     for lang, t in drawn.orderBy("lang", "late", "h").select("lang", "t").toLocalIterator():
         samples.setdefault(lang, []).append(t)
