@@ -53,6 +53,11 @@ def opaque_scopes(writes: DataFrame) -> DataFrame:
     return writes.withColumn("opaque", F.max("opaque").over(Window.partitionBy("file", "scope_key")))
 
 
+def scope_opacity(writes: DataFrame) -> DataFrame:
+    """A5: (file, scope_key, opaque), one row a scope, where the writes themselves are not asked for: one aggregation, nothing sorted."""
+    return writes.groupBy("file", "scope_key").agg(F.max("opaque").alias("opaque"))
+
+
 def unique_by_name(methods: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """An answer only where exactly one row has the key."""
     return methods.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias(name)).where("n = 1").drop("n")
