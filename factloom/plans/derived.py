@@ -134,10 +134,10 @@ def type_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = dtype.union_of(F.array(dtype.class_type("B"), dtype.class_type("A", F.array(dtype.scalar("int")))))
     promoted = F.when(F.col("o_custkey") % 2 == 0, dtype.class_type("B")).otherwise(dtype.unknown("u"))
     native = F.when(F.col("k") != 5, F.col("t"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", k.alias("k"), t.alias("t"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", k.alias("k"), t.alias("t")).crossJoin(F.broadcast(spark.range(1).select(written.alias("written"))))
     return rows.select(
         "o_orderkey", dtype.is_delegation(F.col("t")).alias("delegation"), dtype.precise(F.col("t")).alias("precise"), dtype.parameterisable(F.col("t")).alias("parameterisable"), dtype.documentable_payload(F.col("t")).alias("payload"),
-        dtype.parameterise(F.col("t"), written).alias("parameterised"), dtype.property_type(native, promoted, dtype.scalar("string")).alias("property"),
+        dtype.parameterise(F.col("t"), F.col("written")).alias("parameterised"), dtype.property_type(native, promoted, dtype.scalar("string")).alias("property"),
     )
 
 

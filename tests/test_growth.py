@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from factloom.functions import dtype
 from factloom.operators import aggregates
 from factloom.plans import standins
 
@@ -18,3 +19,13 @@ def test_opaque_scopes_are_aggregated_once(spark):
     w = spark.createDataFrame([("f", "s", True), ("f", "s", False), ("f", None, False), (None, "s", None), ("g", "s", False)], "file string, scope_key string, opaque boolean")
     each = {(r.file, r.scope_key, r.opaque) for r in aggregates.scope_opacity(w).collect()}
     assert each == {tuple(r) for r in aggregates.opaque_scopes(w).select("file", "scope_key", F.col("opaque")).distinct().collect()}
+
+
+def test_types_are_parsed_once_a_row(spark):
+    # Spark computes an expression as often as a lambda names it: what is computed twice is written twice.
+    t, w = F.col("t"), F.col("w")
+    rows = spark.createDataFrame([(x, '{"kind":"class","fqcn":"A","args":[{"kind":"null"}]}') for x in ('{"kind":"class","fqcn":"A","args":[]}', '{"kind":"void"}', '{ "kind": "void" }', '{"kind":"unknown","reason":"u"}', None)], "t string, w string")
+    parses = lambda e: plan(rows.select(e.alias("x"))).count("from_json")
+    assert parses(dtype.parameterise(t, w)) == 3 and parses(dtype.property_type(t, w, w)) <= 9
+    got = rows.select(dtype.kind_of(t).alias("k"), dtype.parameterise(t, w).alias("p"), dtype.property_type(t, w, w).alias("x")).collect()
+    assert [r.k for r in got] == ["class", "void", "void", "unknown", None] and [r.p for r in got][0] == got[0].x == got[3].x == got[4].x and got[1].p == '{"kind":"void"}'
