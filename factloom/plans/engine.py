@@ -102,10 +102,21 @@ class Engine:
         return self._shapes
 
     def typed_sites(self, sites: DataFrame) -> DataFrame:
-        """sites(entry, ord, expr_id, ...) with type, component, truncations and files, shapes recovered through project callees."""
+        """sites(entry, ord, expr_id, ...) with type, component, truncations and files, shapes recovered through project callees.
+
+        What is recovered depends on an entry only by its sites' places and expressions: entries with the same list
+        are one *form*, which is recovered once.
+        """
         sites = graph.checkpoint(sites)
-        refined = shapes.refine_sites(self.shapes(), sites.select("entry", "ord", "expr_id"), self.config.trace_depth, self.config.file_budget)
-        return graph.checkpoint(shapes.site_types(sites, refined, self.shapes().exprs))
+        place = F.struct("ord", F.col("expr_id").isNull().alias("none"), "expr_id")
+        of = sites.groupBy(F.col("entry").alias("f_entry")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(place))), 256).alias("form"))
+        formed = graph.checkpoint(sites.join(of, F.col("entry").eqNullSafe(F.col("f_entry"))).drop("f_entry"))
+        asked = graph.checkpoint(formed.select(F.col("form").alias("entry"), "ord", "expr_id").distinct())
+        refined = shapes.refine_sites(self.shapes(), asked, self.config.trace_depth, self.config.file_budget)
+        typed = graph.checkpoint(shapes.site_types(asked, refined, self.shapes().exprs))
+        got = typed.select(F.col("entry").alias("t_form"), F.col("ord").alias("t_ord"), F.col("expr_id").alias("t_expr"), "type", "component", "truncations", "files")
+        out = formed.join(got, (F.col("form") == F.col("t_form")) & F.col("ord").eqNullSafe(F.col("t_ord")) & F.col("expr_id").eqNullSafe(F.col("t_expr")))
+        return graph.checkpoint(out.select(*sites.columns, "type", "component", "truncations", "files"))
 
     def _truncated(self, typed: DataFrame) -> DataFrame:
         return aggregates.truncation_diagnostics(typed.groupBy("entry").agg(F.sum("truncations").alias("truncations")), ["entry"])

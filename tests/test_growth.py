@@ -1,10 +1,11 @@
 """Steps that must not cost more than their result needs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import dtype
 from factloom.operators import aggregates
-from factloom.plans import standins
+from factloom.plans import engine, shapes, standins
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,18 @@ def test_types_are_parsed_once_a_row(spark):
     assert parses(dtype.parameterise(t, w)) == 3 and parses(dtype.property_type(t, w, w)) <= 9
     got = rows.select(dtype.kind_of(t).alias("k"), dtype.parameterise(t, w).alias("p"), dtype.property_type(t, w, w).alias("x")).collect()
     assert [r.k for r in got] == ["class", "void", "void", "unknown", None] and [r.p for r in got][0] == got[0].x == got[3].x == got[4].x and got[1].p == '{"kind":"void"}'
+
+
+def test_entries_of_one_form_are_recovered_once(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def refine(shared, sites, *_):
+        raise Asked(sorted((r.ord, r.expr_id or 0) for r in sites.collect()))
+
+    monkeypatch.setattr(shapes, "refine_sites", refine)
+    monkeypatch.setattr(engine.Engine, "shapes", lambda self: None)
+    sites = [(e, k, x) for e in "abc" for k, x in enumerate((7, None))] + [("d", 0, 7), ("e", 1, 7), ("e", 0, None)]
+    with pytest.raises(Asked) as got:
+        engine.Engine.create(spark, {}).typed_sites(spark.createDataFrame(sites, "entry string, ord int, expr_id long"))
+    assert got.value.args[0] == [(0, 0), (0, 7), (0, 7), (1, 0), (1, 7)]
