@@ -1,8 +1,9 @@
 """Join-like operators: resolution, matching and lookups over fact tables.
 
 Composite keys stay separate columns. Small dimension tables are left to
-Spark's size threshold to broadcast; none is broadcast by hint. Every "first
-wins" carries an explicit order, so input order never shows.
+Spark's size threshold to broadcast; only hot keys are broadcast by hint
+(``graph.join_hot``). Every "first wins" carries an explicit order, so input
+order never shows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dtype, scalars
+from . import graph
 
 
 def first_by(df: DataFrame, keys: list[str], value: Column, order: Column, name: str) -> DataFrame:
@@ -29,6 +31,17 @@ def resolve_callees(calls: DataFrame, class_methods: DataFrame) -> DataFrame:
     return best.where("c.file is not null").select("call_id", F.col("c.declaring_class").alias("callee_class"), F.col("c.method").alias("callee_method"), F.col("c.file").alias("callee_file"))
 
 
+def resolve_shared_callees(calls: DataFrame, class_methods: DataFrame) -> DataFrame:
+    """J1 where very many calls may name one callee: each name with its receivers is resolved once, then handed to its calls."""
+    key = F.sha2(F.to_json(F.struct("callee_name", "receivers")), 256)
+    tried = calls.where(F.col("kind").isin("method", "static")).select("call_id", "callee_name", "receivers", key.alias("asks"))
+    asked = tried.groupBy("asks", "callee_name", "receivers").agg(F.count("*").alias("n_calls"))
+    found = resolve_callees(asked.select(F.col("asks").alias("call_id"), F.lit("method").alias("kind"), "callee_name", "receivers"), class_methods)
+    weighed = found.withColumnRenamed("call_id", "found").join(asked.select("asks", "n_calls"), F.col("found") == F.col("asks")).drop("asks")
+    out = graph.join_hot(tried.select("call_id", "asks"), weighed, [("asks", "found")], "n_calls")
+    return out.where("found is not null").select("call_id", "callee_class", "callee_method", "callee_file")
+
+
 def callee_name(kind: Column, name: Column, literal: Column) -> Column:
     """The literal name of a function, method or static call, whatever its kind."""
     return F.when(kind.isin("function", "method", "static") & literal, name)

@@ -9,6 +9,11 @@ ordinals of the returns that lead to it, which sort depth first. Up: the
 instances of a callee give one shape, that of its first documentable return, and
 the call site binds status, payload and members to its own arguments.
 
+What is found below an entry's own returns depends on the entry only by the
+places of its returns and the callees there: entries with the same list are one
+*form*, and instances below the first level belong to forms. A callee that a
+million entries answer with is so descended once, not a million times.
+
 What a shape needs of arguments is brought to each call as one map by parameter,
 so a level costs one join and one aggregation, whatever the number of members.
 """
@@ -88,8 +93,9 @@ class ShapeFacts:
         self.exprs = graph.checkpoint(self._exprs())
         self.arguments = graph.checkpoint(self._arguments())
         self.targets = graph.checkpoint(self._targets())
+        self.resolved = graph.checkpoint(lookups.resolve_shared_callees(f["calls"].where("not is_first_class"), f["class_methods"]))
         self.slots = graph.checkpoint(self._slots())
-        self.callees = graph.checkpoint(lookups.resolve_callees(f["calls"].where("not is_first_class"), f["class_methods"]).where(scalars.is_project_file(F.col("callee_file"), roots)))
+        self.callees = self.resolved.where(scalars.is_project_file(F.col("callee_file"), roots))
         self.members = graph.checkpoint(self._members())
         self.constructed = graph.checkpoint(self._constructed())
         self.discovered = graph.checkpoint(self._discovered())
@@ -151,8 +157,10 @@ class ShapeFacts:
 
     def _slots(self) -> DataFrame:
         """(slot_call, slots): arguments by parameter of the resolved callee, for each call."""
-        callees = lookups.resolve_callees(self.f["calls"].where("not is_first_class"), self.f["class_methods"])
-        params = callees.join(self.params, (F.col("callee_class") == F.col("p_class")) & (F.col("callee_method") == F.col("p_method"))).select("call_id", "idx", "param")
+        listed = self.params.groupBy("p_class", "p_method").agg(F.collect_list(F.struct("idx", "param")).alias("params"))
+        calls = self.resolved.groupBy(F.col("callee_class").alias("n_class"), F.col("callee_method").alias("n_method")).agg(F.count("*").alias("n_calls"))
+        listed = listed.join(calls, (F.col("p_class") == F.col("n_class")) & (F.col("p_method") == F.col("n_method"))).drop("n_class", "n_method")
+        params = graph.join_hot(self.resolved, listed, [("callee_class", "p_class"), ("callee_method", "p_method")], "n_calls").select("call_id", F.explode("params").alias("p")).select("call_id", "p.idx", "p.param")
         bound = lookups.argument_slots(self.f["args"], params)
         of = self.arguments.withColumnRenamed("expr_id", "a_id")
         rows = bound.join(of, F.col("expr_id") == F.col("a_id"), "left")
@@ -237,43 +245,81 @@ def refine_sites(shared: ShapeFacts, sites: DataFrame, depth: int = 4, budget: i
     returns = shared.f["return_sites"].select(F.col("class").alias("r_class"), F.col("method").alias("r_method"), F.col("ord").alias("r_ord"), F.col("expr_id").alias("r_expr"))
     written = shared.f["class_methods"].groupBy(F.col("class").alias("w_class"), F.col("method").alias("w_method")).agg(F.max("written_in_file").alias("written"))
     named = lookups.attribute_on(shared.f["attributes"], COMPONENT).select(F.col("class").alias("n_class"), F.col("method").alias("n_method"), F.col("component").alias("own"))
-    t = shared.targets.withColumnRenamed("expr_id", "t_expr")
-    callees = shared.callees.join(written, (F.col("callee_class") == F.col("w_class")) & (F.col("callee_method") == F.col("w_method")), "left").join(named, (F.col("callee_class") == F.col("n_class")) & (F.col("callee_method") == F.col("n_method")), "left")
-    callees = graph.checkpoint(callees.select(F.col("call_id").alias("c_call"), "callee_class", "callee_method", "callee_file", "written", "own", F.concat_ws("::", "callee_class", "callee_method").alias("callee")))
-    levels, visits = [], []
-    for d in range(depth + 1):
-        e = keyed.join(t, F.col("expr_id") == F.col("t_expr"), "left").withColumn("case", F.when(F.col("expr_id").isNull(), "delegation").otherwise(F.col("case"))).drop("t_expr")
-        e = graph.checkpoint(e.join(callees, (F.col("case") == "call") & (F.col("target") == F.col("c_call")), "left").drop("c_call").withColumn("cycle", F.coalesce(F.array_contains("path", F.col("callee")), F.lit(False))))
-        levels.append(e)
-        if d < depth:
-            down = e.where("callee is not null and not cycle")
-            visits.append(down.select("entry", "order", F.col("callee_file").alias("file")))
-            keyed = down.join(returns, (F.col("callee_class") == F.col("r_class")) & (F.col("callee_method") == F.col("r_method"))).select("entry", F.array_append("order", F.col("r_ord")).alias("order"), F.col("r_expr").alias("expr_id"), F.array_append("path", F.col("callee")).alias("path"), F.col("r_class").alias("ret_class"), F.col("r_method").alias("ret_method"))
+    about = shared.callees.select("callee_class", "callee_method").distinct()
+    about = about.join(written, (F.col("callee_class") == F.col("w_class")) & (F.col("callee_method") == F.col("w_method")), "left").join(named, (F.col("callee_class") == F.col("n_class")) & (F.col("callee_method") == F.col("n_method")), "left")
+    about = graph.checkpoint(about.select(F.col("callee_class").alias("o_class"), F.col("callee_method").alias("o_method"), "written", "own"))
+    top = _classified(shared, keyed)
+    of, forms = _forms(top)
+    down, levels, visits = forms, [], []
+    for _ in range(depth):
+        visits.append(down.select("entry", "order", F.col("callee_file").alias("file")))
+        keyed = down.join(returns, (F.col("callee_class") == F.col("r_class")) & (F.col("callee_method") == F.col("r_method"))).select("entry", F.array_append("order", F.col("r_ord")).alias("order"), F.col("r_expr").alias("expr_id"), F.array_append("path", F.col("callee")).alias("path"), F.col("r_class").alias("ret_class"), F.col("r_method").alias("ret_method"))
+        levels.append(_classified(shared, keyed))
+        down = levels[-1].where("callee is not null and not cycle")
     seen = visits[0]
     for v in visits[1:]:
         seen = seen.unionByName(v)
     admitted = graph.checkpoint(graph.admit_files(seen, ["entry"], "file", ["order"], budget).select(F.col("entry").alias("a_entry"), F.col("file").alias("a_file"), "admitted"))
     below = None
-    for d in range(depth, -1, -1):
-        below = graph.checkpoint(_level(shared, levels[d], below, admitted))
-    return below.select("entry", F.col("order")[0].alias("ord"), "shape", "truncations", "files")
+    for e in reversed(levels):
+        below = graph.checkpoint(_level(shared, e if below is None else _descended(shared, e, below, admitted, about), below is None))
+    # Of the entries' own returns a callee may be that of nearly all; what a form tells of it is one row.
+    under = _descended(shared, forms, below, admitted, about).select(F.col("entry").alias("u_form"), F.col("order").alias("u_order"), F.col("callee").alias("u_callee"), "n_sites", *_FOUND)
+    under = under.dropDuplicates(["u_form", "u_order", "u_callee"])
+    formed = graph.checkpoint(top.join(of, F.col("entry") == F.col("f_entry"), "left").drop("f_entry").withColumn("form", F.when(F.col("callee").isNotNull(), F.col("form"))))
+    rows = graph.join_hot(formed, under, [("form", "u_form"), ("order", "u_order"), ("callee", "u_callee")], "n_sites")
+    out = graph.checkpoint(_level(shared, rows, False))
+    return out.select("entry", F.col("order")[0].alias("ord"), "shape", "truncations", "files")
+
+
+def _classified(shared: ShapeFacts, keyed: DataFrame) -> DataFrame:
+    """One level's instances(entry, order, expr_id, path, ...) with the case of each, its target and the callee it goes to."""
+    t = shared.targets.withColumnRenamed("expr_id", "t_expr")
+    callees = shared.callees.select(F.col("call_id").alias("c_call"), "callee_class", "callee_method", "callee_file", F.concat_ws("::", "callee_class", "callee_method").alias("callee"))
+    e = keyed.join(t, F.col("expr_id") == F.col("t_expr"), "left").withColumn("case", F.when(F.col("expr_id").isNull(), "delegation").otherwise(F.col("case"))).drop("t_expr")
+    return graph.checkpoint(e.join(callees, (F.col("case") == "call") & (F.col("target") == F.col("c_call")), "left").drop("c_call").withColumn("cycle", F.coalesce(F.array_contains("path", F.col("callee")), F.lit(False))))
+
 
+#: What a form's levels below need of each call.
+_PLACE = "order: array<int>, callee_class: string, callee_method: string, callee_file: string, callee: string"
+
+
+def _forms(top: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(f_entry, form) of each entry that calls, and one row (entry, order, callee, ..., n_sites) for each call of each form.
+
+    A form stands in for its entries in the levels below, so it has their column's name; ``n_sites`` counts the entries' rows.
+    """
+    place = F.struct(*[x.split(":")[0] for x in _PLACE.split(", ")])
+    calls = top.where("callee is not null").groupBy(F.col("entry").alias("f_entry")).agg(F.to_json(F.array_sort(F.collect_list(place))).alias("calls"))
+    of = graph.checkpoint(calls.withColumn("form", F.sha2("calls", 256)))
+    each = of.groupBy("form", "calls").agg(F.count("*").alias("n_sites")).select(F.col("form").alias("entry"), "n_sites", F.explode(F.from_json("calls", f"array<struct<{_PLACE}>>")).alias("c"))
+    return of.select("f_entry", "form"), graph.checkpoint(each.select("entry", "n_sites", "c.*", F.array().cast("array<string>").alias("path"), F.lit(False).alias("cycle")))
 
-def _level(shared: ShapeFacts, e: DataFrame, below: DataFrame | None, admitted: DataFrame) -> DataFrame:
-    """Shapes of one level's instances, given those of the level below (none below the last)."""
+
+#: What a level has from the one below it.
+_FOUND = ("written", "own", "admitted", "below", "b_truncations", "b_files")
+
+
+def _descended(shared: ShapeFacts, e: DataFrame, below: DataFrame, admitted: DataFrame, about: DataFrame) -> DataFrame:
+    """One level's instances with what the level below tells of those whose callee's file is admitted."""
+    rows = e.join(about, (F.col("callee_class") == F.col("o_class")) & (F.col("callee_method") == F.col("o_method")), "left")
+    rows = rows.join(admitted, (F.col("entry") == F.col("a_entry")) & (F.col("callee_file") == F.col("a_file")), "left")
+    descends = F.col("callee").isNotNull() & ~F.col("cycle") & F.coalesce("admitted", F.lit(False))
+    return rows.join(_first_documentable(shared, below), descends & (F.col("entry") == F.col("b_entry")) & (F.col("order") == F.col("b_order")), "left")
+
+
+def _level(shared: ShapeFacts, e: DataFrame, last: bool) -> DataFrame:
+    """Shapes of one level's instances, which carry those of the level below unless they are the last."""
     rich = shared.f["exprs"].select(F.col("expr_id").alias("x_id"), F.col("type_json").alias("x_type"))
     rows = e.join(shared.constructed.withColumnRenamed("shape", "built"), F.col("target") == F.col("new_id"), "left").join(rich, F.col("target") == F.col("x_id"), "left")
     given = scalars.from_type_args(F.col("x_type"))
     whole = _record(payload=F.when(dtype.kind_of(F.get(F.from_json(F.get_json_object("x_type", "$.args"), "array<string>"), F.lit(0))) != "unknown", F.get(F.from_json(F.get_json_object("x_type", "$.args"), "array<string>"), F.lit(0))), status=given["status"], content_type=given["content_type"], provenance=F.create_map(), delegates=F.lit(False))
     leaf = F.when(F.col("case") == "new", F.col("built")).when(F.col("case") == "rich", whole).when(F.col("case") == "delegation", _record(delegates=F.lit(True)))
     none = F.array().cast("array<string>")
-    if below is None:
+    if last:
         return rows.select("entry", "order", leaf.alias("shape"), (F.col("case") == "call").cast("int").alias("truncations"), none.alias("files"), "ret_class", "ret_method")
-    rows = rows.join(admitted, (F.col("entry") == F.col("a_entry")) & (F.col("callee_file") == F.col("a_file")), "left")
     follows = F.col("callee").isNotNull() & ~F.col("cycle")
     rows = rows.withColumn("descends", follows & F.coalesce("admitted", F.lit(False))).withColumn("cut", (follows & ~F.coalesce("admitted", F.lit(True))).cast("int"))
-    child = _first_documentable(shared, below)
-    rows = rows.join(child, F.col("descends") & (F.col("entry") == F.col("b_entry")) & (F.col("order") == F.col("b_order")), "left")
     rows = rows.join(shared.slots, (F.col("case") == "call") & (F.col("target") == F.col("slot_call")), "left").withColumn("slots", F.coalesce("slots", F.create_map().cast(f"map<string,{SLOT}>")))
     rows = rows.withColumn("below", F.when(F.col("below").isNotNull() & ~F.col("below.delegates"), F.col("below").withField("component", F.coalesce("own", "below.component"))).otherwise(F.col("below")))
     # Payload, then status, then members; the order is part of the result.
