@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     # Shuffle files that the written table replaces go when the driver's heap is collected, which a driver that
     # only plans does rarely: without a nudge a chain of stages keeps the files of all of them on the executors.
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
     return out
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Give native memory that is free in the driver back to the system; False where its JVM can't (before 17.0.9, or not on Linux).
+
+    Compiled code, class loading and map statuses leave it some 200 MB over many plans, which collecting the heap keeps.
+    """
+    release()
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        args = new(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = new(jvm.Object, 0), new(jvm.String, 0)
+        # The server's class is not open to reflection, its interface is.
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke").invoke(server, args)
+    except (Py4JError, TypeError):
+        return False
+    return True
+
+
 #: A key that more than this share of all rows has is hot; there are at most as many hot keys.
 HOT_SHARE = 1000
 

@@ -357,18 +357,17 @@ def _outside(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in links(a, b), by large-star and small-star steps; root is the least node."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    ends = lambda df, *pairs: df.select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("e")).select("e.u", "e.v")
     while True:
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("mu")).agg(F.least(F.min("v"), F.col("mu")).alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("mu")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # Small star: a node's smaller neighbours join the least of them.
+        # Large star: a node's larger neighbours join its least; u is the larger end of every edge.
+        least = ends(edges, ("u", "v"), ("v", "u")).groupBy(F.col("u").alias("mu")).agg(F.least(F.min("v"), F.col("mu")).alias("m"))
+        large = checkpoint(edges.join(least, F.col("v") == F.col("mu")).select("u", F.col("m").alias("v")).where("u != v").distinct())
+        # Small star: a node and its smaller neighbours join the least of them.
         low = large.groupBy(F.col("u").alias("mu")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("mu"))
-        edges = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select(F.col("mu").alias("u"), F.col("m").alias("v"))).where("u != v").distinct())
+        edges = checkpoint(ends(large.join(low, F.col("u") == F.col("mu")), ("v", "m"), ("u", "m")).where("u != v").distinct())
         # Done when no root has a root of its own and no node has two.
-        roots = edges.select(F.col("v").alias("rv")).distinct()
-        twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-        if edges.join(roots, F.col("u") == F.col("rv"), "left_semi").isEmpty() and twice.isEmpty():
+        node = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+        if node.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("lowest")).where("ups > 1 or ups = 1 and lowest = 0").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -403,7 +402,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = _unpacked(found, 0, _PAIRS, "a bigint, b bigint, n int").groupBy("a", "b").agg(F.sum("n").alias("shared"))
     small = small.join(*of("a")).where(F.col("shared") + F.col("la") >= least(F.ceil(F.col("na") * NUM / DEN))).drop("s_a")
     small = small.join(*of("b")).where(fit).where(F.col("shared") + F.least("la", "lb") >= least(F.least("na", "nb")))
-    small = small.select("a", "b", "na", "nb", F.lit(False).alias("star"), F.lit(None).cast("bigint").alias("low"))
+    # Written by themselves, as other steps below: a plan runs all stages that wait for nothing at once, and the driver holds them all.
+    small = checkpoint(small.select("a", "b", "na", "nb", F.lit(False).alias("star"), F.lit(None).cast("bigint").alias("low")))
 
     dense = checkpoint(info.where((F.col("large") > 0) & (F.col("large") >= least(F.ceil(F.col("n") * NUM / DEN)))).select("sig", "n", "usual"))
     members = checkpoint(large.join(dense.withColumnRenamed("sig", "d"), F.col("sig") == F.col("d")).select("tok", "sig", "n", "usual", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3 + 1e-9))).cast("int").alias("band")))
@@ -412,8 +412,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Linked classes lie in one band or in neighbouring ones, so both meet the hub of either's band.
     near = hubs.join(lows, F.col("h_tok") == F.col("w_tok")).select("h_tok", "hub", "nh", "low", F.explode(F.array(*[F.col("h_band") + d for d in (-1, 0, 1)])).alias("for_band"))
     stars = members.join(near, (F.col("tok") == F.col("h_tok")) & (F.col("band") == F.col("for_band"))).where("sig != hub").groupBy(F.col("sig").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("na"), F.max("nh").alias("nb"), F.min("low").alias("low"))
-    pairs = small.unionByName(stars.select("a", "b", "na", "nb", F.lit(True).alias("star"), "low"))
+    stars = checkpoint(stars.select("a", "b", "na", "nb", F.lit(True).alias("star"), "low"))
+    pairs = small.unionByName(stars)
     pairs = checkpoint(pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star"), F.min("low").alias("low")))
+    del small, stars  # their files go
     sets = checkpoint(_sets(texts, pairs, ["a", "b"]))
     judged = checkpoint(count_overlaps(sets, pairs))
     links = judged.where("link").select("a", "b")
@@ -424,7 +426,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = lambda df, x, y: df.join(*root(x, "rx")).join(*root(y, "ry")).where(f"coalesce(rx, {x}) != coalesce(ry, {y})").drop("rx", "ry", f"n_{x}", f"n_{y}")
     open_ = checkpoint(apart(judged.where("star and not link"), "a", "b"))
     if not open_.isEmpty():
-        more = checkpoint(apart(_left_over(sets, open_, dense, judged), "a", "b").join(judged.select(F.col("a").alias("ja"), F.col("b").alias("jb")), (F.col("a") == F.col("ja")) & (F.col("b") == F.col("jb")), "left_anti"))
+        more = checkpoint(_left_over(sets, open_, dense, judged))
+        more = checkpoint(apart(more, "a", "b").join(judged.select(F.col("a").alias("ja"), F.col("b").alias("jb")), (F.col("a") == F.col("ja")) & (F.col("b") == F.col("jb")), "left_anti"))
         again = checkpoint(count_overlaps(_needed(sets, more), more).where("link").select("a", "b"))
         if not again.isEmpty():
             # The new links join components, few of many: their roots alone are searched once more.
@@ -496,7 +499,7 @@ def _asked(sets: DataFrame, open_: DataFrame, dense: DataFrame) -> tuple[DataFra
     # A larger partner must hold more of them, so it shows itself among still rarer ones.
     fits = (F.col("a") != F.col("y")) & (F.col("na") * 4 >= F.col("ny") * 3) & (F.col("ny") * 4 >= F.col("na") * 3) & (F.col("behind") >= need(F.col("ny")))
     found = rare.join(held, (F.col("tok") == F.col("y_tok")) & fits).select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb")).distinct()
-    return z, found
+    return z, checkpoint(found)
 
 
 __all__ = ["connected_components", "count_overlaps", "jaccard_components", "shingle_sets"]

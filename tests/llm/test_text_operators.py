@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm.suffix_kernel import radix_groups
-from factloom.llm import chat_format, fingerprints, jaccard_join, language_id, media, mixing, piece_codec, queries, suffix_dedup, toxicity, url_rules
+from factloom.llm import chat_format, common, fingerprints, jaccard_join, language_id, media, mixing, piece_codec, queries, suffix_dedup, toxicity, url_rules
 
 from .fixtures import ODD_TEXTS, SCHEMA, clashing, near_copies, odd_rows
 
@@ -446,6 +446,30 @@ def test_jaccard_borderline_families(spark, monkeypatch):
     assert sorted((tuple(r) for r in jaccard_join.jaccard_components(df).collect()), key=str) == _components(rows)
 
 
+def test_jaccard_plans_stay_small(spark, monkeypatch):
+    """The driver holds all stages of a plan that wait for nothing at once, each with its tasks: no step may pile them up."""
+    monkeypatch.setattr(jaccard_join, "ALL_PAIRS", 1)
+    monkeypatch.setattr(jaccard_join, "EXPANDED", 3)
+    plans, write = [], jaccard_join.checkpoint
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return write(df)
+
+    monkeypatch.setattr(jaccard_join, "checkpoint", noted)
+    rows = near_copies(3)[:160]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    jaccard_join.jaccard_components(df)
+    assert len(plans) > 25 and max(plans) <= 8
+
+
+def test_checkpoints_trim_the_driver(spark, monkeypatch):
+    """What planning leaves of native memory goes back to the system at each checkpoint (a JVM of 17.0.9 or later on Linux)."""
+    trimmed = []
+    monkeypatch.setattr(common, "trim_driver", lambda s, f=common.trim_driver: trimmed.append(f(s)))
+    assert common.checkpoint(spark.range(3)).count() == 3 and trimmed == [True]
+
+
 def test_jaccard_odd_input(spark, odd, empty):
     got = jaccard_join.jaccard_components(clashing(odd)).collect()
     assert sorted((tuple(r) for r in got), key=str) == _components([(r[0], r[1]) for r in odd_rows()])
